@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, packing, quality_rules, token_counts
+from . import media, mixing, packing, quality_model, quality_rules, sharding, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(documents(spark, sf_dir)).drop("key_range")
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.payload_digest(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -33,6 +51,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_model": op5_quality_model,
+    "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
+    "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
 }
 
