@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 # The word and symbol classes of the contract, and the line rules' patterns (valid in Java and RE2).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-TERMINAL = r"[.!?…:;,\"'”’»)\]。！？][\x20\x09-\x0D]*$"
+SYMBOL = r"[#*$%&|<>]"
+TERMINAL = r"[.!?…:;,\"'”’»)\]。！？][\x20\x09-\x0D]*\z"
 SHOUT = r"[!?]"
 SEPARATOR = r"[|»›•·→>]"
 BOILERPLATE = (
-    r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|enable javascript|click here"
-    r"|sign (in|up) (now|here)|log ?in to|subscribe to our|skip to (main )?content|back to top|share this|powered by"
-    r"|lorem ipsum)"
-)
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "enable javascript",
+    "click here", "sign in now", "sign in here", "sign up now", "sign up here", "log in to", "login to",
+    "subscribe to our", "skip to content", "skip to main content", "back to top", "share this", "powered by", "lorem ipsum",
+)
 SHORT_LINE = 4
 WINDOW = 5
 
@@ -33,21 +33,31 @@ def words_of(text: Column) -> Column:
 
 def solid(text: Column) -> Column:
     """Code points of the words."""
-    return F.length(F.translate(text, BLANKS, ""))
+    return F.length(F.array_join(words_of(text), ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Any of the three rules for one line that has a word."""
-    n = F.regexp_count(line, F.lit(WORD))
-    marks = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+def boilerplate(text: Column) -> Column:
+    low = F.lower(text)
+    out = low.contains(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
+        out = out | low.contains(phrase)
+    return out
+
+
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Any of the three rules for one line that has a word; `phrases`: the document has a boilerplate phrase.
+
+    The tests that need no word count come first: few lines get beyond them.
+    """
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    n, marks, separators = count(WORD), count(SYMBOL), count(SEPARATOR)
     punctuation = (
         (~line.rlike(TERMINAL) & (n < SHORT_LINE))
-        | ((n >= SHORT_LINE) & (F.regexp_count(line, F.lit(SHOUT)) > n))
+        | ((count(SHOUT) > SHORT_LINE) & (n >= SHORT_LINE) & (count(SHOUT) > n))
         | ((marks >= 3) & (marks * 2 > n))
     )
-    separators = F.regexp_count(line, F.lit(SEPARATOR))
     navigation = (separators >= 3) & (separators * 3 >= n)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    return punctuation | navigation | (phrases & boilerplate(line))
 
 
 def repeated_words(words: Column) -> Column:
@@ -85,18 +95,22 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.struct("*").alias("row"), text.alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
-    d = d.select("row", "t", words_of(F.col("t")).alias("words"), lines.alias("lines"))
-    good = F.array_distinct(F.filter("lines", lambda x: ~line_fails(x)))
+    d = d.select("row", "t", words_of(F.col("t")).alias("words"), lines.alias("lines"), boilerplate(F.col("t")).alias("phrases"))
+    d = d.withColumn("good", F.array_distinct(F.filter("lines", lambda x: ~line_fails(x, F.col("phrases")))))
     d = d.select(
         "row",
+        "good",
+        F.size("lines").alias("n_lines"),
         F.size("words").cast("long").alias("n_words"),
-        solid(F.col("t")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(good, "\n").alias("clean_text"),
     )
-    d = d.withColumn("kept_chars", solid(F.col("clean_text")).cast("long"))
+    d = d.withColumn("clean_text", F.array_join("good", "\n"))
+    # Where every line passed, nothing is counted again.
+    left = F.when(F.size("good") == F.col("n_lines"), F.col("word_chars")).otherwise(solid(F.col("clean_text")).cast("long"))
+    d = d.withColumn("kept_chars", left).drop("good", "n_lines")
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= min_kept * F.col("word_chars")))
 
@@ -106,13 +120,14 @@ def oracle_sql(min_kept: float = 0.5) -> str:
     q = lambda s: s.replace("'", "''")
     blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     n = f"len(regexp_extract_all(x, '{WORD}'))"
-    marks = f"(length(x) - length(translate(x, '{SYMBOLS}', '')))"
+    marks = f"len(regexp_extract_all(x, '{SYMBOL}'))"
+    phrases = " OR ".join(f"contains(lower(x), '{b}')" for b in BOILERPLATE)
     seps = f"len(regexp_extract_all(x, '{SEPARATOR}'))"
     fails = f"""((NOT regexp_matches(x, '{q(TERMINAL)}') AND {n} < {SHORT_LINE})
       OR ({n} >= {SHORT_LINE} AND len(regexp_extract_all(x, '{SHOUT}')) > {n})
       OR ({marks} >= 3 AND {marks} * 2 > {n})
       OR ({seps} >= 3 AND {seps} * 3 >= {n})
-      OR regexp_matches(x, '{q(BOILERPLATE)}'))"""
+      OR {phrases})"""
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS words,
@@ -122,7 +137,7 @@ twice AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM g),
 cover AS (SELECT r, least(5, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 5)) AS k FROM twice WHERE n > 1),
 reps AS (SELECT r, sum(k) AS k FROM cover GROUP BY r),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(translate(t, {blanks}, '')) AS BIGINT) AS word_chars,
-        CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+        CAST(len(regexp_extract_all(t, '{SYMBOL}')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(k, 0) AS BIGINT) AS n_repeat_words,
         length(translate(array_to_string(list_distinct(list_filter(lines, lambda x: NOT {fails})), ''), {blanks}, '')) AS kept_chars
