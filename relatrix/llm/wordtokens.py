@@ -11,11 +11,15 @@ import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import re
+
 import numpy as np
 
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 1_200_000
 _LONG = 64
+#: Words of Latin-1 letters, then stops at most: one or two pieces for the pre-tokenizer, whatever stands around them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _loaded: dict[str, "WordTokens"] = {}
 
 
@@ -34,12 +38,40 @@ class WordTokens:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        ends = np.zeros(self.lib.get_vocab_size(), bool)
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        for piece, i in self.lib.get_vocab(with_added_tokens=False).items():
+            ends[i] = bool(suffix) and piece.endswith(suffix)
+        self.ends = ends if ends.any() else None
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word. A plain word has those of its lower-case letters, then those of its stops. Letters
+        not met yet go to the library as one text, which is parted after the ids that end a piece; if these are not
+        one for each, and for all other words, every word is a text of its own."""
+        out: dict[str, bytes] = {}
+        if self.ends is not None:
+            cache = self.cache
+            plain = [(m[0], m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, words) if m]
+            stems = [x for x in {p[1] for p in plain} if x not in cache and len(x) <= _LONG]
+            if stems:
+                ids = np.array(self.lib.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(stems):
+                    raw, at = ids.tobytes(), 0
+                    for x, end in zip(stems, ((last + 1) * 4).tolist()):
+                        cache[x] = raw[at:end]
+                        at = end
+            for w, stem, stops in plain:
+                if (v := cache.get(stem)) is not None:
+                    if stops and stops not in cache:
+                        cache[stops] = np.array(self.lib.encode(stops, add_special_tokens=False).ids, "<u4").tobytes()
+                    out[w] = v + cache[stops]
+            words = [w for w in words if w not in out]
         got = self.lib.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, got))
+        return out
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
