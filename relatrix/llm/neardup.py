@@ -15,7 +15,7 @@ from .dartminhash import bands, shingles, signatures
 from .token_counts import byte_batches
 
 BATCH_BYTES = 1 << 20
-SMALL = 8
+SMALL = 64
 
 
 def text_shingles(text: str, size: int, weights: str) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,11 @@ def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def between_hubs(hubs: DataFrame) -> DataFrame:
+    """Pairs of the hubs of one key in one round."""
+    return hubs.select("key", F.col("hub").alias("a")).join(hubs.select("key", F.col("hub").alias("b")), "key").filter("a < b").select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     text_col: str = "text",
@@ -104,9 +109,9 @@ def near_duplicates(
     smallest id, is its representative. An empty table gives no rows; other columns are ignored.
 
     Distinct texts are hashed into 32 bands of 5 of the 160 coordinates: at similarity 0.8 the chance to share none is
-    3e-6. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: a hub drawn by
-    hash, another one in every band, is compared with the rest; what is not linked to it goes on to the next round
-    unless all that is left is in one class. A text y that a hub h did not link but that lies within twice the linking
+    3e-6. A band key shared by up to 64 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
+    hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
+    a hub goes on to the next round unless all that is left is in one class. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
     differ, those pairs are compared too. So no group is expanded into all pairs and no link is given up.
     """
@@ -125,32 +130,34 @@ def near_duplicates(
     wanted = wanted.withColumn("rk", F.coalesce(F.col("rep").cast("string"), F.lit(""))).drop("rep")
     sets = cut(shingle_sets(texts.join(wanted, ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
 
-    left, right = members.filter(F.col("n") <= SMALL).select("key", F.col("node").alias("a")), members.filter(F.col("n") <= SMALL).select("key", F.col("node").alias("b"))
-    few = left.join(right, "key").filter("a < b").select("a", "b")
     far = 2 * threshold - 1  # similarity at twice the linking distance
-    open_rows = members.filter(F.col("n") > SMALL).select("key", "node")
+    open_rows = members
     measured: DataFrame | None = None
-    labels: DataFrame | None = None
     turn = 0
     while True:
-        drawn = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
-        stars = cut(open_rows.join(drawn.select("key", "m.hub"), "key").filter("node <> hub"))
-        pairs = stars.select(*ordered(F.col("node"), F.col("hub")))
-        pairs = (pairs.union(few) if turn == 0 else pairs).distinct()
+        few = open_rows.filter(F.col("n") <= SMALL)
+        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
+        many = open_rows.filter(F.col("n") > SMALL).select("key", "node")
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
+        drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
+        hubs = cut(drawn.select("key", "m.hub"))
+        stars = many.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti").join(hubs, "key")
+        stars = cut(stars.select("key", "node", "hub"))
+        pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).union(between_hubs(hubs)).distinct()
         if measured is not None:
             pairs = pairs.join(measured, ["a", "b"], "left_anti")
-        new = measure(pairs, sets).filter(F.col("s") >= far)
+        new = measure(pairs, sets)
         measured = cut(new if measured is None else measured.union(new))
         links = measured.filter(F.col("s") >= threshold)
         labels = connected_components(links)
-        named = labels.withColumnRenamed("label", "class")
         turn += 1
-        # Rows whose hub did not link them, where what is left of the key is not all of one class.
+        # Rows that no hub linked, of keys where what is left is not all of one class.
         tied = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "hub")
-        rest = stars.join(tied, ["node", "hub"], "left_anti").select("key", "node").join(named, "node", "left")
-        rest = rest.withColumn("class", F.coalesce("class", "node"))
-        mixed = rest.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-        open_rows = cut(rest.join(mixed, "key").select("key", "node"))
+        held = stars.join(tied, ["node", "hub"]).select("key", "node").distinct()
+        rest = stars.select("key", "node").distinct().join(held, ["key", "node"], "left_anti")
+        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+        open_rows = cut(rest.join(mixed.select("key", "n"), "key").select("key", "node", "n"))
         if open_rows.limit(1).count() == 0:
             break
     # Neighbours of hubs: near misses whose classes still differ.
@@ -159,12 +166,12 @@ def near_duplicates(
         cls = lambda d, c, to: d.join(named.select(F.col("node").alias(c), F.col("class").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
         both = measured.union(measured.select(F.col("b"), F.col("a"), "s")).toDF("hub", "node", "s")
         both = cls(cls(both, "hub", "ch"), "node", "cn")
-        misses = both.filter((F.col("s") < threshold) & (F.col("ch") != F.col("cn"))).select("hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("cn").alias("cy"))
+        misses = both.filter((F.col("s") < threshold) & (F.col("s") >= far - 1e-9) & (F.col("ch") != F.col("cn"))).select("hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("cn").alias("cy"))
         close = both.filter(F.col("s") >= threshold).select("hub", F.col("node").alias("x"), F.col("s").alias("sx"), F.col("cn").alias("cx"))
         reach = misses.join(close, "hub").filter((F.col("cx") != F.col("cy")) & (1 - F.col("sx") >= (1 - F.col("sy")) - (1 - threshold) - 1e-9))
         pairs = reach.select(*ordered(F.col("x"), F.col("y"))).distinct().join(measured, ["a", "b"], "left_anti")
-        new = cut(measure(pairs, sets).filter(F.col("s") >= threshold))
-        if new.limit(1).count() == 0:
+        new = cut(measure(pairs, sets))
+        if new.filter(F.col("s") >= threshold).limit(1).count() == 0:
             break
         measured = cut(measured.union(new))
         labels = connected_components(measured.filter(F.col("s") >= threshold))
