@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import media, mixing, neardup, packing, quality_model, quality_rules, sharding, token_counts, toxicity
+from . import katz, media, mixing, neardup, packing, quality_model, quality_rules, sharding, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
+    "op10_katz": op10_katz,
 }
 
 ORACLES = {
