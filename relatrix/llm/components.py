@@ -18,10 +18,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         l2 = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        near = both.join(l2, "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(l2.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")))
+        new = cut(step.join(up.hint("merge"), "label").select("node", "old", F.least("label", "up").alias("label")))
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

@@ -44,102 +44,108 @@ def unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def shingles(text: str, size: int = 5) -> np.ndarray:
-    """Hashes of all windows of `size` words; a shorter text with words is one window; none without words."""
-    words = WORDS.findall(text)
-    n = len(words)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    if n < size:
-        size = n
-    out = np.zeros(n - size + 1, np.uint64)
-    for i in range(size):
-        out = mix(out ^ h[i : n - size + 1 + i]) if i else mix(h[: n - size + 1])
-    return out
-
-
-#: P(Poisson(1) <= i): darts in a cell of area 1; smaller cells use their own area.
-COUNTS = 12
-
-
-def _poisson(u: np.ndarray, area: np.ndarray) -> np.ndarray:
-    term = np.exp(-area)
-    total, n = term.copy(), np.zeros(len(u), np.int64)
-    for i in range(1, COUNTS):
-        more = u > total
-        if not more.any():
-            break
-        n += more
-        term = term * area / i
-        total += term
-    return n
+def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owner): all windows of `size` words of every text; a shorter text with words is one window."""
+    found = [WORDS.findall(t) for t in texts]
+    counts = np.array([len(w) for w in found], np.int64)
+    total = int(counts.sum())
+    h = np.fromiter((x for w in found for x in map(_words.__getitem__, w)), np.uint64, total)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if total >= size:
+        n = total - size + 1
+        out = h[:n].copy()
+        for i in range(1, size):
+            out = out * M2 + h[i : i + n]
+        inside = owner[:n] == owner[size - 1 :]
+        out, owner_out = mix(out[inside]), owner[:n][inside]
+    else:
+        out, owner_out = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(short):
+        ones = [mix(np.array([sum(pow(int(M2), len(found[i]) - 1 - j, 1 << 64) * _words[w] for j, w in enumerate(found[i])) % (1 << 64)], np.uint64))[0] for i in short]
+        out, owner_out = np.concatenate([out, np.array(ones, np.uint64)]), np.concatenate([owner_out, short])
+    return out, owner_out
+
+
+def shingle_set(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of one text and how often each occurs."""
+    return np.unique(shingles([text], size)[0], return_counts=True)
+
+
+def _steps(area: float) -> np.ndarray:
+    """P(Poisson(area) <= i) for i = 0, 1, ...; area is 1 at most."""
+    terms = [np.exp(-area)]
+    for i in range(1, 16):
+        terms.append(terms[-1] * area / i)
+    return np.cumsum(terms)
 
 
 def _darts(elements, weights, owner, reach, k):
-    """(owner, coordinate, rank, dart id) of the darts with rank <= reach[owner] under each element's weight.
+    """(cell of owner and coordinate, rank, dart id) of the darts with rank <= reach[owner] under each weight.
 
-    Weight cells are [0, 1), [1, 2), [2, 4), ...; rank cells are [0, 1/32), [1/32, 1/16), ... A cell larger than 1 is
-    cut along its rank into parts of area 1 at most. All of that is fixed; only which cells are visited depends on
-    the text.
+    Weight cells are [0, 1), [1, 2), [2, 4), ...; rank cells are [0, 1/8), [1/8, 1/2), [1/2, 2), ... A cell larger
+    than 1 is cut along its rank into parts of area 1 at most. All of that is fixed; only which parts are visited
+    depends on the text. weights None: all are 1.
     """
     out = []
-    top = float(weights.max())
+    top = 1.0 if weights is None else float(weights.max())
     low_w, span_w, v = 0.0, 1.0, 0
     while low_w < top:
-        inside = weights > low_w
-        e, x, o = elements[inside], weights[inside], owner[inside]
-        low_r, span_r, c = 0.0, 1.0 / 32, 0
+        e, x, o = elements, weights, owner
+        if weights is not None:
+            inside = weights > low_w
+            e, x, o = elements[inside], weights[inside], owner[inside]
+        low_r, high_r, c = 0.0, 1.0 / 8, 0
         while len(e):
-            near = reach[o] > low_r
-            if not near.any():
-                break
-            e, x, o = e[near], x[near], o[near]
-            parts = max(1, int(np.ceil(span_w * span_r)))
+            parts = max(1, int(np.ceil(span_w * (high_r - low_r))))
+            dr = (high_r - low_r) / parts
             for p in range(parts):
-                r0, dr = low_r + span_r * p / parts, span_r / parts
-                hit = reach[o] > r0 if p else slice(None)
-                ee, xx, oo = e[hit], x[hit], o[hit]
-                if len(ee) == 0:
+                r0 = low_r + dr * p
+                near = reach[o] > r0
+                if not near.all():
+                    e, o = e[near], o[near]
+                    x = x if x is None else x[near]
+                if len(e) == 0:
                     break
-                seed = mix(ee ^ np.uint64(v << 40 | c << 20 | p))
-                n = _poisson(unit(seed), np.full(len(ee), span_w * dr))
-                has = n > 0
-                at = np.repeat(np.flatnonzero(has), n[has])
+                seed = mix(e ^ np.uint64(v << 40 | c << 20 | p))
+                n = np.searchsorted(_steps(span_w * dr), unit(seed), side="right")
+                at = np.repeat(np.arange(len(e)), n)
                 if len(at) == 0:
                     continue
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(n[has]) - n[has], n[has])
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 d = mix(seed[at] + M1 * (nth + 1).astype(np.uint64))
-                w = low_w + span_w * unit(mix(d ^ M2))
                 r = r0 + dr * unit(mix(d ^ M3))
-                ok = (w < xx[at]) & (r <= reach[oo[at]])
-                out.append((oo[at][ok], (d[ok] % np.uint64(k)).astype(np.int64), r[ok], d[ok]))
-            low_r, span_r, c = low_r + span_r, max(low_r + span_r, 1.0 / 32), c + 1
+                ok = r <= reach[o[at]]
+                if x is not None and not (x >= low_w + span_w).all():
+                    ok &= low_w + span_w * unit(mix(d ^ M2)) < x[at]
+                d, at, r = d[ok], at[ok], r[ok]
+                out.append((o[at] * k + (d % np.uint64(k)).astype(np.int64), r, d))
+            low_r, high_r, c = high_r, high_r * 4, c + 1
         low_w, span_w, v = low_w + span_w, max(low_w + span_w, 1.0), v + 1
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint64)
-    return tuple(np.concatenate(c) for c in zip(*out))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint64))
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-    """One row of k dart ids for each (elements, weights); zeros for an empty one."""
-    sig = np.zeros((len(sets), k), np.uint64)
-    todo = np.array([i for i, (e, _) in enumerate(sets) if len(e)], np.int64)
+def signatures(elements: np.ndarray, weights: np.ndarray | None, owner: np.ndarray, texts: int, k: int) -> np.ndarray:
+    """One row of k dart ids for each of `texts` texts; zeros where a text owns no element.
+
+    `owner` ascends. An element may be listed twice with weights None: its darts are the same.
+    """
+    sig = np.zeros((texts, k), np.uint64)
     factor = k * np.log(k) + 2 * k
-    while len(todo):
-        elements = np.concatenate([sets[i][0] for i in todo])
-        weights = np.concatenate([sets[i][1] for i in todo]).astype(np.float64)
-        owner = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
-        reach = factor / np.bincount(owner, weights, len(todo))
-        o, j, r, d = _darts(elements, weights, owner, reach, k)
-        part, full = np.zeros(len(todo) * k, np.uint64), np.zeros(len(todo) * k, bool)
-        down = np.argsort(-r, kind="stable")
-        cell = (o * k + j)[down]
-        part[cell] = d[down]  # the lowest rank is written last
-        full[cell] = True
-        done = full.reshape(-1, k).all(1)
-        sig[todo[done]] = part.reshape(-1, k)[done]
-        todo, factor = todo[~done], factor * 2
+    while len(elements):
+        ids, own = np.unique(owner, return_inverse=True)
+        reach = factor / np.bincount(own, weights, len(ids))
+        cell, r, d = _darts(elements, weights, own, reach, k)
+        best = np.full(len(ids) * k, np.inf)
+        np.minimum.at(best, cell, r)
+        part = np.zeros(len(ids) * k, np.uint64)
+        lowest = r == best[cell]
+        part[cell[lowest]] = d[lowest]
+        done = np.isfinite(best).reshape(-1, k).all(1)
+        sig[ids[done]] = part.reshape(-1, k)[done]
+        again = ~done[own]
+        elements, owner, weights = elements[again], owner[again], weights if weights is None else weights[again]
+        factor *= 2
     return sig
 
 

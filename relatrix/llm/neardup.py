@@ -11,27 +11,33 @@ from pyspark.sql import functions as F
 
 from ..session import cut, prepare
 from .components import connected_components
-from .dartminhash import bands, shingles, signatures
+from .dartminhash import bands, shingle_set, shingles, signatures
 from .token_counts import byte_batches
 
 BATCH_BYTES = 1 << 20
 SMALL = 64
 
 
-def text_shingles(text: str, size: int, weights: str) -> tuple[np.ndarray, np.ndarray]:
-    e, n = np.unique(shingles(text, size), return_counts=True)
-    return e, (n if weights == "count" else np.ones(len(e))).astype(np.float64)
-
-
 def sketch(docs: DataFrame, text_col: str, id_col: str, size: int, coordinates: int, rows: int, weights: str) -> DataFrame:
     """(k, tk, bands): the id, the text's MD5, and its band hashes (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_batches(batches, BATCH_BYTES):
-            sets = [text_shingles(t, size, weights) for t in b.column(0).to_pylist()]
-            keys = bands(signatures(sets, coordinates), rows)
-            got = [k.tolist() if len(s[0]) else [] for k, s in zip(keys, sets)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.list_(pa.int64()))], ["k", "tk", "bands"])
+            texts = b.column(0).to_pylist()
+            items, owner = shingles(texts, size)
+            n = None
+            if weights == "count":
+                both = [np.unique(items[owner == i], return_counts=True) for i in range(len(texts))]
+                owner = np.repeat(np.arange(len(texts)), [len(x[0]) for x in both])
+                items, n = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]).astype(np.float64)
+            elif len(owner):
+                order = np.argsort(owner, kind="stable")
+                items, owner = items[order], owner[order]
+            keys = bands(signatures(items, n, owner, len(texts), coordinates), rows)
+            some = np.zeros(len(texts), bool)
+            some[owner] = True
+            got = pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], got], ["k", "tk", "bands"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(text.alias("t"), F.col(id_col).alias("k"), F.md5(text).alias("tk"))
@@ -43,7 +49,7 @@ def shingle_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [text_shingles(t, size, weights) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
             items = pa.array([e.tobytes() for e, _ in sets], pa.binary())
             counts = pa.array([w.astype(np.float32).tobytes() if weights == "count" else None for _, w in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), items, counts], ["node", "items", "counts"])
@@ -77,7 +83,7 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb"))
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca"))
-    full = pairs.select("a", "b").join(right, "b").join(left, "a")
+    full = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     return full.select("a", "b", "ia", "ca", "ib", "cb").mapInArrow(run, "a long, b long, s double")
 
 
@@ -96,9 +102,10 @@ def near_duplicates(
     id_col: str = "doc_id",
     threshold: float = 0.8,
     size: int = 5,
-    coordinates: int = 160,
+    coordinates: int = 130,
     rows: int = 5,
     weights: str = "set",
+    carry_key: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, class_id (smallest id of its class), class_size, representative.
 
@@ -108,8 +115,8 @@ def near_duplicates(
     only to equal ones, null counting as empty. A null id is in the class of its text; one row of a class, with the
     smallest id, is its representative. An empty table gives no rows; other columns are ignored.
 
-    Distinct texts are hashed into 32 bands of 5 of the 160 coordinates: at similarity 0.8 the chance to share none is
-    3e-6. A band key shared by up to 64 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
+    Distinct texts are hashed into 26 bands of 5 of the 130 coordinates: at similarity 0.8 the chance to share none is
+    3e-5. A band key shared by up to 64 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
     hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
     a hub goes on to the next round unless all that is left is in one class. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
@@ -122,13 +129,13 @@ def near_duplicates(
     nodes = cut(nodes.withColumn("rep", F.col("first.k")))
     flat = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
     shared = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(flat.join(shared, "key"))
+    members = cut(flat.join(shared.hint("merge"), "key"))
     wanted = members.select("node").distinct().join(nodes.select("node", "tk", "rep"), "node")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("t"), F.md5(text).alias("tk"), F.col(id_col).alias("rep"))
     texts = texts.withColumn("rk", F.coalesce(F.col("rep").cast("string"), F.lit(""))).drop("rep")
     wanted = wanted.withColumn("rk", F.coalesce(F.col("rep").cast("string"), F.lit(""))).drop("rep")
-    sets = cut(shingle_sets(texts.join(wanted, ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
+    sets = cut(shingle_sets(texts.join(wanted.hint("merge"), ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
 
     far = 2 * threshold - 1  # similarity at twice the linking distance
     open_rows = members
@@ -136,12 +143,12 @@ def near_duplicates(
     turn = 0
     while True:
         few = open_rows.filter(F.col("n") <= SMALL)
-        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
+        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")).hint("merge"), "key").filter("a < b").select("a", "b")
         many = open_rows.filter(F.col("n") > SMALL).select("key", "node")
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
         drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
         hubs = cut(drawn.select("key", "m.hub"))
-        stars = many.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti").join(hubs, "key")
+        stars = many.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti").join(hubs.hint("merge"), "key")
         stars = cut(stars.select("key", "node", "hub"))
         pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).union(between_hubs(hubs)).distinct()
         if measured is not None:
@@ -155,7 +162,7 @@ def near_duplicates(
         tied = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "hub")
         held = stars.join(tied, ["node", "hub"]).select("key", "node").distinct()
         rest = stars.select("key", "node").distinct().join(held, ["key", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = rest.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
         open_rows = cut(rest.join(mixed.select("key", "n"), "key").select("key", "node", "n"))
         if open_rows.limit(1).count() == 0:
@@ -175,8 +182,18 @@ def near_duplicates(
             break
         measured = cut(measured.union(new))
         labels = connected_components(measured.filter(F.col("s") >= threshold))
-    node_class = cut(nodes.select("tk", "node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    node_class = cut(nodes.select("tk", "node", "first", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     per = node_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     named = node_class.select("tk", "label").join(per, "label").select("tk", F.col("first.k").alias("class_id"), F.col("first.uid").alias("lead"), "class_size")
-    out = base.select("k", "tk", "uid").join(named, "tk")
-    return out.select(F.col("k").alias(id_col), "class_id", "class_size", (F.col("uid") == F.col("lead")).alias("representative"))
+    out = base.select("k", "tk", "uid").join(named.hint("merge"), "tk")
+    return out.select(F.col("k").alias(id_col), "class_id", "class_size", (F.col("uid") == F.col("lead")).alias("representative"), *([F.col("tk").alias("text_key")] if carry_key else []))
+
+
+def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` that represent their near-duplicate class, one for each class, with all their columns."""
+    classes = near_duplicates(docs, text_col, id_col, carry_key=True, **options).filter("representative")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lead = classes.select(key(id_col).alias("lead_id"), F.col("text_key").alias("lead_text"))
+    d = docs.select(F.struct("*").alias("row"), key(id_col).alias("lead_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("lead_text"))
+    # Rows equal in id and text are told apart no further: one of them stays.
+    return d.join(lead, ["lead_id", "lead_text"], "left_semi").dropDuplicates(["lead_id", "lead_text"]).select("row.*")
