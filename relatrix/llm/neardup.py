@@ -91,11 +91,6 @@ def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def between_hubs(hubs: DataFrame) -> DataFrame:
-    """Pairs of the hubs of one key in one round."""
-    return hubs.select("key", F.col("hub").alias("a")).join(hubs.select("key", F.col("hub").alias("b")), "key").filter("a < b").select("a", "b")
-
-
 def near_duplicates(
     docs: DataFrame,
     text_col: str = "text",
@@ -118,7 +113,7 @@ def near_duplicates(
     Distinct texts are hashed into 26 bands of 5 of the 130 coordinates: at similarity 0.8 the chance to share none is
     3e-5. A band key shared by up to 64 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
     hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
-    a hub goes on to the next round unless all that is left is in one class. A text y that a hub h did not link but that lies within twice the linking
+    a hub goes on to the next round. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
     differ, those pairs are compared too. So no group is expanded into all pairs and no link is given up.
     """
@@ -147,36 +142,33 @@ def near_duplicates(
         many = open_rows.filter(F.col("n") > SMALL).select("key", "node")
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
         drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
-        hubs = cut(drawn.select("key", "m.hub"))
-        stars = many.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti").join(hubs.hint("merge"), "key")
-        stars = cut(stars.select("key", "node", "hub"))
-        pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).union(between_hubs(hubs)).distinct()
+        stars = cut(many.join(drawn.select("key", "m.hub").hint("merge"), "key").filter("node <> hub"))
+        pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).distinct()
         if measured is not None:
-            pairs = pairs.join(measured, ["a", "b"], "left_anti")
+            pairs = pairs.join(measured.hint("merge"), ["a", "b"], "left_anti")
         new = measure(pairs, sets)
         measured = cut(new if measured is None else measured.union(new))
-        links = measured.filter(F.col("s") >= threshold)
-        labels = connected_components(links)
         turn += 1
-        # Rows that no hub linked, of keys where what is left is not all of one class.
+        # Rows that were no hub and that no hub linked go on.
+        links = measured.filter(F.col("s") >= threshold)
         tied = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "hub")
-        held = stars.join(tied, ["node", "hub"]).select("key", "node").distinct()
-        rest = stars.select("key", "node").distinct().join(held, ["key", "node"], "left_anti")
-        rest = rest.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-        open_rows = cut(rest.join(mixed.select("key", "n"), "key").select("key", "node", "n"))
+        held = stars.join(tied.hint("merge"), ["node", "hub"], "left_semi").select("key", "node").union(stars.select("key", F.col("hub").alias("node")))
+        rest = stars.select("key", "node").distinct().join(held.distinct().hint("merge"), ["key", "node"], "left_anti")
+        left = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        open_rows = cut(rest.join(left.hint("merge"), "key").select("key", "node", "n"))
         if open_rows.limit(1).count() == 0:
             break
+    labels = connected_components(measured.filter(F.col("s") >= threshold))
     # Neighbours of hubs: near misses whose classes still differ.
     while True:
         named = labels.withColumnRenamed("label", "class")
-        cls = lambda d, c, to: d.join(named.select(F.col("node").alias(c), F.col("class").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+        cls = lambda d, c, to: d.join(named.select(F.col("node").alias(c), F.col("class").alias(to)).hint("merge"), c, "left").withColumn(to, F.coalesce(to, c))
         both = measured.union(measured.select(F.col("b"), F.col("a"), "s")).toDF("hub", "node", "s")
         both = cls(cls(both, "hub", "ch"), "node", "cn")
         misses = both.filter((F.col("s") < threshold) & (F.col("s") >= far - 1e-9) & (F.col("ch") != F.col("cn"))).select("hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("cn").alias("cy"))
         close = both.filter(F.col("s") >= threshold).select("hub", F.col("node").alias("x"), F.col("s").alias("sx"), F.col("cn").alias("cx"))
-        reach = misses.join(close, "hub").filter((F.col("cx") != F.col("cy")) & (1 - F.col("sx") >= (1 - F.col("sy")) - (1 - threshold) - 1e-9))
-        pairs = reach.select(*ordered(F.col("x"), F.col("y"))).distinct().join(measured, ["a", "b"], "left_anti")
+        reach = misses.join(close.hint("merge"), "hub").filter((F.col("cx") != F.col("cy")) & (1 - F.col("sx") >= (1 - F.col("sy")) - (1 - threshold) - 1e-9))
+        pairs = reach.select(*ordered(F.col("x"), F.col("y"))).distinct().join(measured.hint("merge"), ["a", "b"], "left_anti")
         new = cut(measure(pairs, sets))
         if new.filter(F.col("s") >= threshold).limit(1).count() == 0:
             break
