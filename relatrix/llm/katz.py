@@ -8,7 +8,6 @@ words or pairs, and evaluates its texts on the answers. Nothing that grows with
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import cut, prepare
 
 TOP = 5  # counts beyond are not discounted
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_600_000
 PART_ENTRIES = 1_500_000
 LEAST_BITS = 6
 MEMORY = 1_000_000
@@ -58,7 +57,7 @@ def pack(x: np.ndarray) -> bytes:
         n *= 2
     y = x.astype({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[n])
     planes = y.view(np.uint8).reshape(-1, n).T
-    return bytes([n]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([n]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -68,6 +67,15 @@ def unpack(b: bytes) -> np.ndarray:
     return y.astype(np.int64)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit hashes by their differences."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b).view(np.uint64), dtype=np.uint64)
+
+
 def blocks_of(docs: DataFrame, text_col: str, id_col: str, modulus: int, held: int) -> DataFrame:
     """Block rows: ids, remainders, lengths, token numbers into the block's sorted word hashes, training counts."""
 
@@ -84,7 +92,7 @@ def blocks_of(docs: DataFrame, text_col: str, id_col: str, modulus: int, held: i
             words, numbers = np.unique(np.concatenate(kept), return_inverse=True)
             train = np.repeat(~np.array(out_flags, bool), lengths)
             counts = np.bincount(numbers[train], minlength=len(words))
-            row = [at, keys, out_flags, pack(lengths), pack(numbers), words.tobytes(), pack(counts), int(train.sum()), len(words)]
+            row = [at, keys, out_flags, pack(lengths), pack(numbers), pack_sorted(words), pack(counts), int(train.sum()), len(words)]
             at += 1
             keys, kept, out_flags, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
@@ -122,9 +130,9 @@ def ask_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, raw, counts in zip(*(c.to_pylist() for c in b.columns)):
-                words, counts = np.frombuffer(raw, np.uint64), unpack(counts)
+                words, counts = unpack_sorted(raw), unpack(counts)
                 cuts = np.searchsorted(part_of(words, bits), np.arange((1 << bits) + 1))
-                rows = [(p, block, words[i:j].tobytes(), pack(counts[i:j])) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+                rows = [(p, block, pack_sorted(words[i:j]), pack(counts[i:j])) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["part", "block", "words", "counts"])
 
     return run
@@ -136,7 +144,7 @@ def count_words(bits: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
-        asked = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        asked = [unpack_sorted(w) for w in table.column("words").to_pylist()]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.bincount(at, np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]), len(words)).astype(np.int64)
         rank = np.empty(len(words), np.int64)
@@ -343,13 +351,7 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Null and empty texts are one end. Repeated rows count each time; a null id counts as empty text for the remainder;
     without training rows every word is unknown; an empty table gives no rows; other columns are ignored.
     """
-    spark = prepare(docs.sparkSession)
-
-    def tidy() -> None:
-        # Shuffle files of finished steps go when their owners on the driver are collected.
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
+    prepare(docs.sparkSession)
     key_type = docs.select(F.col(id_col).alias("k")).schema["k"].dataType
     blocks = cut(blocks_of(docs, text_col, id_col, modulus, held))
     n, entries = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
@@ -357,7 +359,6 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     asked = blocks.select("block", "words", "counts").mapInArrow(ask_words(bits), "part long, block long, words binary, counts binary")
     words = cut(asked.groupBy("part").applyInArrow(count_words(bits), "block long, part long, count binary, number binary, known long"))
     v = words.groupBy("part").agg(F.first("known").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    tidy()
     pair_bits = bits + 1
     hot_from = max(1000.0, n / (4 << pair_bits))
     texts = blocks.select("block", "keys", "held", "lengths", "numbers")
@@ -369,7 +370,6 @@ def katz_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             count_pairs, "block long, part long, seen binary, ones binary, mass binary, totals array<long>, hot_contexts array<long>, hot_stats array<array<long>>"
         )
     )
-    tidy()
     sums = answers.filter(F.size("totals") > 0).agg(*[F.coalesce(F.sum(F.col("totals")[r]), F.lit(0)) for r in range(TOP + 1)]).first()
     # At most 4 * 2 ** pair_bits contexts are hot: each has that share of all tokens.
     spread = answers.select(F.explode(F.arrays_zip("hot_contexts", "hot_stats")).alias("h")).groupBy(F.col("h.hot_contexts").alias("c"))
