@@ -15,7 +15,7 @@ from .dartminhash import bands, shingle_set, shingles, signatures
 from .token_counts import byte_batches
 
 BATCH_BYTES = 1 << 20
-SMALL = 64
+SMALL = 8
 
 
 def sketch(docs: DataFrame, text_col: str, id_col: str, size: int, coordinates: int, rows: int, weights: str) -> DataFrame:
@@ -111,11 +111,11 @@ def near_duplicates(
     smallest id, is its representative. An empty table gives no rows; other columns are ignored.
 
     Distinct texts are hashed into 26 bands of 5 of the 130 coordinates: at similarity 0.8 the chance to share none is
-    3e-5. A band key shared by up to 64 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
+    3e-5. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
     hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
     a hub goes on to the next round. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
-    differ, those pairs are compared too. So no group is expanded into all pairs and no link is given up.
+    differ, those pairs of the key are compared too. So no group is expanded into all pairs and no link is given up.
     """
     prepare(docs.sparkSession)
     base = cut(sketch(docs, text_col, id_col, size, coordinates, rows, weights).withColumn("uid", F.monotonically_increasing_id()))
@@ -135,6 +135,7 @@ def near_duplicates(
     far = 2 * threshold - 1  # similarity at twice the linking distance
     open_rows = members
     measured: DataFrame | None = None
+    history: DataFrame | None = None
     turn = 0
     while True:
         few = open_rows.filter(F.col("n") <= SMALL)
@@ -143,6 +144,7 @@ def near_duplicates(
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
         drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
         stars = cut(many.join(drawn.select("key", "m.hub").hint("merge"), "key").filter("node <> hub"))
+        history = stars if history is None else history.union(stars)
         pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).distinct()
         if measured is not None:
             pairs = pairs.join(measured.hint("merge"), ["a", "b"], "left_anti")
@@ -159,15 +161,15 @@ def near_duplicates(
         if open_rows.limit(1).count() == 0:
             break
     labels = connected_components(measured.filter(F.col("s") >= threshold))
-    # Neighbours of hubs: near misses whose classes still differ.
-    while True:
-        named = labels.withColumnRenamed("label", "class")
-        cls = lambda d, c, to: d.join(named.select(F.col("node").alias(c), F.col("class").alias(to)).hint("merge"), c, "left").withColumn(to, F.coalesce(to, c))
-        both = measured.union(measured.select(F.col("b"), F.col("a"), "s")).toDF("hub", "node", "s")
-        both = cls(cls(both, "hub", "ch"), "node", "cn")
-        misses = both.filter((F.col("s") < threshold) & (F.col("s") >= far - 1e-9) & (F.col("ch") != F.col("cn"))).select("hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("cn").alias("cy"))
-        close = both.filter(F.col("s") >= threshold).select("hub", F.col("node").alias("x"), F.col("s").alias("sx"), F.col("cn").alias("cx"))
-        reach = misses.join(close.hint("merge"), "hub").filter((F.col("cx") != F.col("cy")) & (1 - F.col("sx") >= (1 - F.col("sy")) - (1 - threshold) - 1e-9))
+    # Neighbours of a hub in a large key: near misses whose classes still differ.
+    known = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "s").union(measured.select(F.col("b"), F.col("a"), "s"))
+    spokes = cut(history.join(known.filter(F.col("s") >= far - 1e-9).hint("merge"), ["node", "hub"]))
+    while spokes.filter(F.col("s") < threshold).limit(1).count():
+        classes = labels.withColumnRenamed("label", "class").hint("merge")
+        named = spokes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        close = named.filter(F.col("s") >= threshold).select("key", "hub", F.col("node").alias("x"), F.col("s").alias("sx"), F.col("class").alias("cx"))
+        misses = named.filter(F.col("s") < threshold).select("key", "hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("class").alias("cy"))
+        reach = misses.join(close.hint("merge"), ["key", "hub"]).filter((F.col("cx") != F.col("cy")) & (F.col("sx") <= F.col("sy") + (1 - threshold) + 1e-9))
         pairs = reach.select(*ordered(F.col("x"), F.col("y"))).distinct().join(measured.hint("merge"), ["a", "b"], "left_anti")
         new = cut(measure(pairs, sets))
         if new.filter(F.col("s") >= threshold).limit(1).count() == 0:
