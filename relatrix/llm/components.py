@@ -14,6 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then the label of that label, so the number
     of rounds is logarithmic for the stars and chains met here. The driver sees one count a round.
     """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.coalesce(n)
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:

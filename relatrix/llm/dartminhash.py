@@ -10,6 +10,7 @@ besides one cell per element.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -35,9 +36,12 @@ _words = WordHashes()
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; wraps on purpose."""
     x = x + M1
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * M3
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= M2
+    x ^= x >> np.uint64(27)
+    x *= M3
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -49,7 +53,7 @@ def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     found = [WORDS.findall(t) for t in texts]
     counts = np.array([len(w) for w in found], np.int64)
     total = int(counts.sum())
-    h = np.fromiter((x for w in found for x in map(_words.__getitem__, w)), np.uint64, total)
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(found)), np.uint64, total)
     owner = np.repeat(np.arange(len(texts)), counts)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if total >= size:
@@ -108,10 +112,13 @@ def _darts(elements, weights, owner, reach, k):
                 if len(e) == 0:
                     break
                 seed = mix(e ^ np.uint64(v << 40 | c << 20 | p))
-                n = np.searchsorted(_steps(span_w * dr), unit(seed), side="right")
-                at = np.repeat(np.arange(len(e)), n)
-                if len(at) == 0:
+                steps = _steps(span_w * dr)
+                u = unit(seed)
+                some = np.flatnonzero(u >= steps[0])
+                if len(some) == 0:
                     continue
+                n = np.searchsorted(steps, u[some], side="right")
+                at = np.repeat(some, n)
                 nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 d = mix(seed[at] + M1 * (nth + 1).astype(np.uint64))
                 r = r0 + dr * unit(mix(d ^ M3))

@@ -14,7 +14,7 @@ from .components import connected_components
 from .dartminhash import bands, shingle_set, shingles, signatures
 from .token_counts import byte_batches
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 SMALL = 8
 
 
@@ -45,12 +45,13 @@ def sketch(docs: DataFrame, text_col: str, id_col: str, size: int, coordinates:
 
 
 def shingle_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
-    """(node, t) -> (node, items, counts): sorted shingle hashes and their weights as little-endian binary."""
+    """(node, t) -> (node, items, counts): sorted shingle hashes (their upper 32 bits: two texts of 20,000
+    words share one by chance in ten pairs) and weights, little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            items = pa.array([e.tobytes() for e, _ in sets], pa.binary())
+            items = pa.array([(e >> np.uint64(32)).astype(np.uint32).tobytes() for e, _ in sets], pa.binary())
             counts = pa.array([w.astype(np.float32).tobytes() if weights == "count" else None for _, w in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), items, counts], ["node", "items", "counts"])
 
@@ -58,8 +59,8 @@ def shingle_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
 
 
 def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None) -> float:
-    """Exact (weighted) Jaccard similarity of two sorted shingle sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    """(Weighted) Jaccard similarity of two sorted shingle sets."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return 0.0
     i = np.searchsorted(y, x)
@@ -87,6 +88,11 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "ia", "ca", "ib", "cb").mapInArrow(run, "a long, b long, s double")
 
 
+def pool(df: DataFrame) -> DataFrame:
+    """A union in no more partitions than a shuffle has."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -97,7 +103,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     threshold: float = 0.8,
     size: int = 5,
-    coordinates: int = 130,
+    coordinates: int = 110,
     rows: int = 5,
     weights: str = "set",
     carry_key: bool = False,
@@ -110,8 +116,8 @@ def near_duplicates(
     only to equal ones, null counting as empty. A null id is in the class of its text; one row of a class, with the
     smallest id, is its representative. An empty table gives no rows; other columns are ignored.
 
-    Distinct texts are hashed into 26 bands of 5 of the 130 coordinates: at similarity 0.8 the chance to share none is
-    3e-5. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
+    Distinct texts are hashed into 22 bands of 5 of the 110 coordinates: at similarity 0.8 the chance to share none is
+    2e-4, at 0.85 3e-6. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
     hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
     a hub goes on to the next round. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
@@ -144,16 +150,16 @@ def near_duplicates(
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
         drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
         stars = cut(many.join(drawn.select("key", "m.hub").hint("merge"), "key").filter("node <> hub"))
-        history = stars if history is None else history.union(stars)
+        history = stars if history is None else pool(history.union(stars))
         pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).distinct()
         if measured is not None:
             pairs = pairs.join(measured.hint("merge"), ["a", "b"], "left_anti")
         new = measure(pairs, sets)
-        measured = cut(new if measured is None else measured.union(new))
+        measured = cut(new if measured is None else pool(measured.union(new)))
         turn += 1
         # Rows that were no hub and that no hub linked go on.
         links = measured.filter(F.col("s") >= threshold)
-        tied = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("node", "hub")
+        tied = pool(links.select("a", "b").union(links.select(F.col("b"), F.col("a")))).toDF("node", "hub")
         held = stars.join(tied.hint("merge"), ["node", "hub"], "left_semi").select("key", "node").union(stars.select("key", F.col("hub").alias("node")))
         rest = stars.select("key", "node").distinct().join(held.distinct().hint("merge"), ["key", "node"], "left_anti")
         left = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -162,7 +168,8 @@ def near_duplicates(
             break
     labels = connected_components(measured.filter(F.col("s") >= threshold))
     # Neighbours of a hub in a large key: near misses whose classes still differ.
-    known = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "s").union(measured.select(F.col("b"), F.col("a"), "s"))
+    known = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "s")
+    known = pool(known.union(measured.select(F.col("b"), F.col("a"), "s")))
     spokes = cut(history.join(known.filter(F.col("s") >= far - 1e-9).hint("merge"), ["node", "hub"]))
     while spokes.filter(F.col("s") < threshold).limit(1).count():
         classes = labels.withColumnRenamed("label", "class").hint("merge")
@@ -174,7 +181,7 @@ def near_duplicates(
         new = cut(measure(pairs, sets))
         if new.filter(F.col("s") >= threshold).limit(1).count() == 0:
             break
-        measured = cut(measured.union(new))
+        measured = cut(pool(measured.union(new)))
         labels = connected_components(measured.filter(F.col("s") >= threshold))
     node_class = cut(nodes.select("tk", "node", "first", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     per = node_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
