@@ -62,6 +62,20 @@ def step(g: np.ndarray, h: np.ndarray, leaves: int, ridge: float) -> np.ndarray:
     return out
 
 
+def box_step(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
+    """A depth-two tree over two binned features: the split of the first for which one split of the second on either
+    side gains most."""
+    best, out = -1.0, np.zeros_like(g)
+    for r in range(1, len(g)):
+        sides = [step(g[part].sum(0), h[part].sum(0), 2, ridge) for part in (slice(None, r), slice(r, None))]
+        # A leaf of value v gains v * (its gradient).
+        gain = float((sides[0] * g[:r].sum(0)).sum() + (sides[1] * g[r:].sum(0)).sum())
+        if gain > best:
+            best = gain
+            out[:r], out[r:] = sides
+    return out
+
+
 @dataclass
 class AdditiveModel:
     """score = sigmoid(intercept + one table per feature at its bin + one table per pair at both bins)."""
@@ -122,12 +136,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, bins
             g, h = slopes()
             cell, n = low[i] * sizes[j] + low[j], sizes[i] * sizes[j]
             gs, hs = np.bincount(cell, g, n).reshape(box.shape), np.bincount(cell, h, n).reshape(box.shape)
-            # One split along the first feature, then one tree along the second on either side of it.
-            rows = step(gs.sum(1), hs.sum(1), 2, ridge)
-            move = np.empty_like(box)
-            for v in np.unique(rows):
-                side = rows == v
-                move[side] = step(gs[side].sum(0), hs[side].sum(0), 2, ridge)
+            move = box_step(gs, hs, ridge)
             box += rate * move
             total += rate * move[low[i], low[j]]
     model.pairs = [(i, j, t) for (i, j), t in boxes.items()]
