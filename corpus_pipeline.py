@@ -22,9 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, with their failing lines taken out."""
     prepare(spark)
-    d = quality_rules.clean_lines(docs).filter("kept")
-    d = d.select("row.*", F.col("clean_text").alias("clean_text_"))
-    return d.withColumn("text", F.col("clean_text_")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    d = quality_rules.kept_documents(docs)
+    return d.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,8 +118,8 @@ def near_duplicates(
 
     Distinct texts are hashed into 22 bands of 5 of the 110 coordinates: at similarity 0.8 the chance to share none is
     2e-4, at 0.85 3e-6. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
-    hash, other ones in every band and twice as many in every round, are compared with the rest; what is not linked to
-    a hub goes on to the next round. A text y that a hub h did not link but that lies within twice the linking
+    hash, other ones in every band and four times as many in every round, are compared with the rest; what is not linked to
+    a hub goes on to the next round while the key has texts of different classes; texts of one class are not compared. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
     differ, those pairs of the key are compared too. So no group is expanded into all pairs and no link is given up.
     """
@@ -139,31 +139,39 @@ def near_duplicates(
     sets = cut(shingle_sets(texts.join(wanted.hint("merge"), ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
 
     far = 2 * threshold - 1  # similarity at twice the linking distance
-    open_rows = members
+    open_rows = members.withColumn("class", F.col("node"))
     measured: DataFrame | None = None
     history: DataFrame | None = None
     turn = 0
     while True:
         few = open_rows.filter(F.col("n") <= SMALL)
-        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")).hint("merge"), "key").filter("a < b").select("a", "b")
-        many = open_rows.filter(F.col("n") > SMALL).select("key", "node")
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
-        drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("m"))
-        stars = cut(many.join(drawn.select("key", "m.hub").hint("merge"), "key").filter("node <> hub"))
+        left, right = few.select("key", F.col("node").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("class").alias("cb"))
+        pairs = left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+        many = open_rows.filter(F.col("n") > SMALL).select("key", "node", "class")
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << (2 * turn)))
+        drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("class").alias("hub_class"))).alias("m"))
+        hubs = drawn.select("key", "m.hub", "m.hub_class")
+        stars = cut(many.join(hubs.hint("merge"), "key").filter("class <> hub_class").select("key", "node", "hub"))
         history = stars if history is None else pool(history.union(stars))
         pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).distinct()
         if measured is not None:
             pairs = pairs.join(measured.hint("merge"), ["a", "b"], "left_anti")
         new = measure(pairs, sets)
         measured = cut(new if measured is None else pool(measured.union(new)))
-        turn += 1
-        # Rows that were no hub and that no hub linked go on.
         links = measured.filter(F.col("s") >= threshold)
+        turn += 1
+        if stars.limit(1).count() == 0:
+            break
+        if turn == 1:  # the classes so far spare most rows the later rounds
+            early = connected_components(links).withColumnRenamed("label", "class")
+        # Rows that were no hub and that no hub linked go on, where a key has them in more than one class.
         tied = pool(links.select("a", "b").union(links.select(F.col("b"), F.col("a")))).toDF("node", "hub")
-        held = stars.join(tied.hint("merge"), ["node", "hub"], "left_semi").select("key", "node").union(stars.select("key", F.col("hub").alias("node")))
-        rest = stars.select("key", "node").distinct().join(held.distinct().hint("merge"), ["key", "node"], "left_anti")
-        left = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        open_rows = cut(rest.join(left.hint("merge"), "key").select("key", "node", "n"))
+        held = stars.join(tied.hint("merge"), ["node", "hub"], "left_semi").select("key", "node").union(hubs.select("key", F.col("hub").alias("node")))
+        rest = many.select("key", "node").join(held.distinct().hint("merge"), ["key", "node"], "left_anti")
+        rest = rest.join(early.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        rest = cut(rest.select("key", "node", "class"))
+        mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
+        open_rows = cut(rest.join(mixed.select("key", "n").hint("merge"), "key"))
         if open_rows.limit(1).count() == 0:
             break
     labels = connected_components(measured.filter(F.col("s") >= threshold))

@@ -115,6 +115,17 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5)
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= min_kept * F.col("word_chars")))
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5) -> DataFrame:
+    """The documents that are kept, with their clean text; the input's columns.
+
+    The row number in the condition keeps the optimizer from moving the filter below the projection, where it would
+    work out every measure a second time.
+    """
+    d = clean_lines(docs, text_col, min_kept).withColumn("line_", F.monotonically_increasing_id())
+    d = d.filter(F.col("kept") & (F.col("line_") >= 0)).select("row.*", F.col("clean_text").alias("clean_text_"))
+    return d.withColumn(text_col, F.col("clean_text_")).drop("clean_text_")
+
+
 def oracle_sql(min_kept: float = 0.5) -> str:
     """The op4 query's rows in DuckDB SQL, from the same patterns."""
     q = lambda s: s.replace("'", "''")

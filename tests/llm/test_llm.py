@@ -174,8 +174,8 @@ def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     rng = random.Random(5)
     words = [f"v{i}" for i in range(3000)]
     passage = " ".join(rng.choice(words) for _ in range(60))
-    t = drifting(40, words, rng, 2) + drifting(25, words, rng, 4)
-    t += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) for _ in range(40)]
+    t = drifting(25, words, rng, 2) + drifting(12, words, rng, 4)
+    t += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) for _ in range(14)]
     t += [t[3]] * 10 + ["", "", None, "a b", "a b", "c"]
     rng.shuffle(t)
     rows = list(enumerate(t))
