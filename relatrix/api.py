@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import under_prefix
 from .operators import caps, drift, files, graph, health, journal, overlay, wiki
-from .scan.imports import exported, language_column
+from .scan.imports import exported_column, language_column
 from .sources.scope import Scope, source_files
 from .sources.snapshot import Store, update
 
@@ -48,7 +48,7 @@ class Project:
     def update_maps(self, full: bool = False, max_files: int | None = None, **resolver) -> dict[str, int]:
         live = self.files()
         if "exports" not in resolver:
-            js = live.filter(language_column(F.col("rel")) == "javascript").select("rel", F.udf(exported, "array<string>")("text").alias("names"))
+            js = live.filter(language_column(F.col("rel")) == "javascript").select("rel", exported_column(F.col("text")).alias("names"))
             resolver["exports"] = js.select("rel", F.explode("names").alias("name"))
         counts = update(self.store, live, full, max_files, **resolver)
         self.health = self.health.unionByName(health.seed_stubs(live, self.health), allowMissingColumns=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .lexing import blank, js_tokens, mask_python, rust_tokens, strip_c_comments
+from .lexing import js_tokens, mask_python, rust_tokens, strip_c_comments
 
 
 class Ref(NamedTuple):
@@ -263,4 +263,12 @@ def exported(text: str) -> list[str]:
     return read_js(text)[1]
 
 
-__all__ = ["SCANNERS", "SUFFIXES", "Ref", "blank", "exported", "language_column", "scan"]
+def _exported(text: pd.Series) -> pd.Series:
+    return text.map(exported)
+
+
+def exported_column(text: Column) -> Column:
+    return F.pandas_udf(_exported, "array<string>")(text)
+
+
+__all__ = ["SCANNERS", "SUFFIXES", "Ref", "exported", "exported_column", "language_column", "scan"]
