@@ -93,6 +93,22 @@ def pool(df: DataFrame) -> DataFrame:
     return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hopeless(sets: DataFrame, threshold: float) -> DataFrame:
+    """(node): texts that can be linked to no other of `sets`. Of a text's shingles a share u is in no other text; its
+    similarity to any of them is then 1 - u at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.unique(np.frombuffer(items, np.uint32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], ["h", "node"])
+
+    each = sets.select("node", "items").mapInArrow(run, "h long, node long")
+    alone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("u"))
+    size = sets.select("node", (F.octet_length("items") / 4).alias("size"))
+    return alone.join(size.hint("merge"), "node").filter(F.col("u") > (1 - threshold) * F.col("size") + 1e-6).select("node")
+
+
 def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -121,7 +137,8 @@ def near_duplicates(
     hash, other ones in every band and four times as many in every round, are compared with the rest; what is not linked to
     a hub goes on to the next round while the key has texts of different classes; texts of one class are not compared. A text y that a hub h did not link but that lies within twice the linking
     distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
-    differ, those pairs of the key are compared too. So no group is expanded into all pairs and no link is given up.
+    differ, those pairs of the key are compared too. A text of large keys, over a fifth of whose shingles no other such
+    text has, can be linked to none of them and leaves these keys at once. So no group is expanded into all pairs and no link is given up.
     """
     prepare(docs.sparkSession)
     base = cut(sketch(docs, text_col, id_col, size, coordinates, rows, weights).withColumn("uid", F.monotonically_increasing_id()))
@@ -139,7 +156,12 @@ def near_duplicates(
     sets = cut(shingle_sets(texts.join(wanted.hint("merge"), ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
 
     far = 2 * threshold - 1  # similarity at twice the linking distance
-    open_rows = members.withColumn("class", F.col("node"))
+    crowd = members.filter(F.col("n") > SMALL)
+    if weights == "set" and crowd.limit(1).count():
+        able = crowd.join(hopeless(sets.join(crowd.select("node").distinct().hint("merge"), "node"), threshold).hint("merge"), "node", "left_anti")
+        able = able.join(able.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "key").select("key", "node", F.col("m").alias("n"))
+        members = cut(pool(members.filter(F.col("n") <= SMALL).select("key", "node", "n").union(able)))
+    open_rows = members.select("key", "node", "n", F.col("node").alias("class"))
     measured: DataFrame | None = None
     history: DataFrame | None = None
     turn = 0
