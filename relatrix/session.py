@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -58,6 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Write `df` once to the shared checkpoint folder and read it back from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared checkpoint folder and read it back from there.
+
+    Afterwards the driver drops what it no longer needs: Spark's cleaner removes shuffle files only when their owners
+    on the driver have been collected, and long loops of plans would otherwise fill its memory first.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
