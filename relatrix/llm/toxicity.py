@@ -178,11 +178,10 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col:
 
     Null and empty texts have no passage and the score of that. Only the text counts; repeated rows are scored each;
     other columns are ignored, or carried as the struct `row`. One narrow stage; the model's tokens are bounded by the
-    training sample. A text without any token of positive score is settled by one set test.
+    training sample. A text none of whose tokens has a positive score has no segment, so its segments are not looked for.
     """
     prepare(docs.sparkSession)
-    spelled = {w: s for w, s in model.weights.items() if s > 0}
-    spelled = frozenset(w + m for w in spelled for m in ("", *MARKS)) | frozenset(m + w for w in spelled for m in MARKS)
+    positive = frozenset(w for w, s in model.weights.items() if s > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = model.probability(0.0)
@@ -190,13 +189,12 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col:
             probs, spans = [], []
             for t in b.column(0).to_pylist():
                 p, found = none, []
-                if t:
-                    raw = t.lower().split()
-                    if not spelled.isdisjoint(raw) or any(m in t for m in "()[]«»“”*'\"¡¿"):
-                        kept, x = model.scan([w.strip(MARKS) for w in raw])
-                        if kept:
-                            p = model.probability(x)
-                            found = [{"first": a, "end": e + 1, "score": s} for a, e, s in kept]
+                words = tokens_of(t) if t else []
+                if not positive.isdisjoint(words):
+                    kept, x = model.scan(words)
+                    if kept:
+                        p = model.probability(x)
+                        found = [{"first": a, "end": e + 1, "score": s} for a, e, s in kept]
                 probs.append(p)
                 spans.append(found)
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))

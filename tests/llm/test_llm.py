@@ -291,6 +291,18 @@ def test_segments_are_maximal(values):
     assert abs(sum(s for *_, s in got) - sum(sum(values[a : b + 1]) for a, b in want)) < 1e-6
 
 
+def test_toxicity_score_equals_a_full_scan_of_words_with_several_marks(spark):
+    model = toxicity.ToxicityModel({"idiot": 6.0, "moron": 5.0, "thanks": -3.0}, -0.5, 1.0, 0.0, 1.0, -1.0)
+    texts = [f"you {a}idiot{b} and {a}moron{b} there" for a in ("", ",", "..", "¡¡") for b in ("", "!", "!!", "...", "?!", "\u2026\u2026", "?!.,", '!"')]
+    texts += ["idiot!! thanks", "so kind, thanks!!", "!!", "", None, " \n"]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        kept, x = model.scan(toxicity.tokens_of(t or ""))
+        assert [tuple(p) for p in got[i].passages] == [(a, b + 1, s) for a, b, s in kept], t
+        assert got[i].score == model.probability(x)
+    assert all(got[i].passages for i in range(32))
+
+
 @pytest.mark.parametrize("same", [False, True])
 def test_sharding(spark, docs, texts, same):
     if same:  # a third of all rows with one text, and repeated rows
