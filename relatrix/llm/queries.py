@@ -22,7 +22,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.training_order(mixing.mix(documents(spark, sf_dir), carry=True))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

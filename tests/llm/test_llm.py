@@ -236,6 +236,19 @@ def test_curriculum_order_and_schedule(spark):
     assert early["p"] / whole["p"] < 0.5 < early["r"] / whole["r"]
 
 
+def test_op3_query_returns_documents_in_training_order(spark, docs, texts):
+    d = queries.QUERIES["op3_mixing"](spark, SF)
+    assert d.columns[:7] == ["doc_id", "size", "source_size", "target", "taken", "passes", "first_position"]
+    got = d.collect()
+    at = [2.0 if r.first_position is None else r.first_position for r in got]
+    assert at == sorted(at) and at[0] == 0 and at[-1] == 2.0
+    want = {r.doc_id: (r.passes, r.first_position) for r in mixing.mix(docs).collect()}
+    assert {r.doc_id: (r.passes, r.first_position) for r in got} == want and len(got) == len(texts)
+    assert all((r.text or "") == texts[r.doc_id] and sum(p.words for p in r.passes) == r.taken for r in got)
+    flat = {r.doc_id: r.first_position for r in mixing.mix(docs, slopes=(0.0,)).collect()}
+    assert any(r.first_position != flat[r.doc_id] for r in got)
+
+
 def test_quality_rules_equal_brute_force(docs, texts):
     d = quality_rules.clean_lines(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for r in d.collect():
