@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -15,21 +16,43 @@ from ..session import prepare
 from .wordtokens import tokenizer_path, worker_tokens
 
 END = (1).to_bytes(4, "little")
-LOOK = 16
 
 
 def place(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[list[tuple[int, int, int]]], int]:
     """Sequences of (document, start, length) for documents shorter than `size`; the number of full ones comes first.
 
-    Documents go in descending order to the cheapest open sequence with room, where a piece of n tokens costs
-    linear * n + quadratic * n * n. Those that no cheap sequence can hold whole are cut to fill what is left. The
+    Documents go in descending order to the cheapest of all open sequences with room, where a piece of n tokens costs
+    linear * n + quadratic * n * n. Those that no sequence can hold whole are cut to fill what is left. The
     tokens beyond the last full sequence are laid out as sequences whose lengths are powers of two: no padding.
     """
     total = sum(lengths)
     n = total // size
     cost = lambda k: linear * k + quadratic * k * k
     room, spent, held = [size] * n, [0.0] * n, [[] for _ in range(n)]
-    heap = [(0.0, s) for s in range(n)]
+    # Heaps of (spent, sequence) by the room left, and over them a tree whose nodes hold the least of their rooms.
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+    none = (math.inf, -1)
+    leaves = 1 << size.bit_length()
+    least = [none] * (2 * leaves)
+
+    def settle(r: int) -> None:
+        i = leaves + r
+        least[i] = heaps[r][0] if heaps[r] else none
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def cheapest(k: int) -> int:
+        best, i, end = none, leaves + k, 2 * leaves
+        while i < end:
+            if i & 1:
+                best = min(best, least[i])
+                i += 1
+            i, end = i >> 1, end >> 1
+        return best[1]
+
+    heaps[size] = [(0.0, s) for s in range(n)]
+    settle(size)
     rest: list[tuple[int, int, int]] = []
 
     def put(s: int, piece: tuple[int, int, int]) -> None:
@@ -38,21 +61,18 @@ def place(lengths: list[int], size: int, linear: float, quadratic: float) -> tup
         spent[s] += cost(piece[2])
 
     for d in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        k, passed, to = lengths[d], [], -1
-        while heap and len(passed) < LOOK:
-            passed.append(heapq.heappop(heap))
-            if room[passed[-1][1]] >= k:
-                to = passed.pop()[1]
-                break
-        for x in passed:
-            heapq.heappush(heap, x)
+        k = lengths[d]
+        to = cheapest(k)
         if to < 0:
             rest.append((d, 0, k))
             continue
+        heapq.heappop(heaps[room[to]])
+        settle(room[to])
         put(to, (d, 0, k))
         if room[to]:
-            heapq.heappush(heap, (spent[to], to))
-    spare = [s for _, s in sorted(heap)]
+            heapq.heappush(heaps[room[to]], (spent[to], to))
+            settle(room[to])
+    spare = [s for _, s in sorted(x for h in heaps for x in h)]
     tail: list[tuple[int, int, int]] = []
     for d, at, k in rest:
         while k and spare:

@@ -197,6 +197,25 @@ def test_dart_signatures_estimate_weighted_jaccard():
         assert (dartminhash.signatures(rng.integers(0, 2**62, n).astype(np.uint64), None, np.zeros(n, np.int64), 1, 64) != 0).all()
 
 
+def test_packing_takes_the_cheapest_of_all_sequences_with_room():
+    rng = random.Random(3)
+    for size in (64, 256):
+        lengths = [rng.randint(size // 3, size - 1) if rng.random() < 0.3 else rng.randint(1, size // 3) for _ in range(1500)]
+        n = sum(lengths) // size
+        room, spent, held, whole = [size] * n, [0.0] * n, [[] for _ in range(n)], set()
+        for d in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            k = lengths[d]
+            to = min((s for s in range(n) if room[s] >= k), key=lambda s: (spent[s], s), default=-1)
+            if to >= 0:
+                held[to].append((d, 0, k))
+                room[to] -= k
+                spent[to] += 1.0 * k + k * k / 2048
+                whole.add(d)
+        got, full = packing.place(lengths, size, 1.0, 1 / 2048)
+        assert full == n and [[p for p in g if p[0] in whole] for g in got[:n]] == held
+        assert sum(p[2] for g in got for p in g) == sum(lengths) and all(sum(p[2] for p in g) == size for g in got[:n])
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs).collect()
     size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in texts.items()}
