@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -32,10 +33,11 @@ def build(master: str | None = None, shuffle_partitions: int = 8, **conf: str) -
 def prepare(spark: SparkSession) -> SparkSession:
     """Make any session fit for the library's Python operators.
 
-    Arrow batches are kept to 2,000 rows so that a batch of very long texts stays bounded, and the package is
-    shipped to the executors once per application, so workers need no shared PYTHONPATH.
+    Arrow batches are kept to 2,000 rows and 16 MB (a longer row is a batch of its own), and the package is shipped
+    to the executors once per application, so workers need no shared PYTHONPATH.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
@@ -49,15 +51,39 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one is set only where the session has none (tests)."""
+    """The shared checkpoint folder. A local one is set only where a local session names none (tests); on a cluster
+    executors would not see it, so that is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (jsc.isLocal() and not spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "relatrix-checkpoints"))
     return jsc.getCheckpointDir().get()
 
 
-def cut(df):
-    """Write `df` once to the shared checkpoint folder and read it back from there."""
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared checkpoint folder and read it back from there. Not for loops: the plan keeps its
+    size estimates, which joins multiply; see stored()."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the shared checkpoint folder and read back: no lineage, and the size of its files
+    as the planner's estimate. The caller of a loop gives each round back by discard()."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of stored() tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
