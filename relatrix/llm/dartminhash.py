@@ -17,16 +17,18 @@ import xxhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MEMORY = 1_000_000
+MEMORY = 200_000
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a fixed number of words."""
+    """word -> 64-bit hash, remembered up to a fixed number of words (some 25 MB; very long ones are not)."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > MEMORY:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -71,9 +73,37 @@ def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, owner_out
 
 
-def shingle_set(text: str, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of one text and how often each occurs."""
-    return np.unique(shingles([text], size)[0], return_counts=True)
+def _sorted(items: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ordered by owner and item (as signed numbers), and which of them are the first of their kind."""
+    order = np.lexsort((items.view(np.int64), owner))
+    items, owner = items[order], owner[order]
+    new = np.ones(len(items), bool)
+    new[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
+    return items, owner, new
+
+
+def weighted(items: np.ndarray, owner: np.ndarray, weights: str = "count") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (item, owner) by owner, with the number of times each occurs (1 with weights="set")."""
+    items, owner, new = _sorted(items, owner)
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(items))) if weights == "count" else np.ones(len(at), np.int64)
+    return items[at], owner[at], times
+
+
+def elements(items: np.ndarray, owner: np.ndarray, weights: str = "count") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements by owner, ascending as signed numbers: each item and, with weights="count", one more element
+    for every further occurrence in its text."""
+    items, owner, new = _sorted(items, owner)
+    at = np.flatnonzero(new)
+    if weights != "count":
+        return items[at], owner[at]
+    if len(at) == len(items):
+        return items, owner
+    nth = np.arange(len(items)) - np.repeat(at, np.diff(np.append(at, len(items))))
+    again = nth > 0
+    items[again] = mix(items[again] ^ mix(nth[again].astype(np.uint64)))
+    items, owner, new = _sorted(items, owner)
+    return items[new], owner[new]
 
 
 def _steps(area: float) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Near-duplicate classes: DartMinHash signatures, banded candidates, exact Jaccard, connected components."""
+"""Near-duplicate classes: weighted DartMinHash signatures, banded candidates, exact similarity, connected components."""
 
 from __future__ import annotations
 
@@ -6,72 +6,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, prepare
+from ..session import discard, prepare, stored
 from .components import connected_components
-from .dartminhash import bands, shingle_set, shingles, signatures
+from .dartminhash import bands, elements, shingles, signatures, weighted
 from .token_counts import byte_batches
 
 BATCH_BYTES = 2 << 20
 SMALL = 8
+#: Comparisons of different classes for each listed shingle above which hubs are tried once more.
+DENSE = 20
+EPS = 1e-9
 
 
 def sketch(docs: DataFrame, text_col: str, id_col: str, size: int, coordinates: int, rows: int, weights: str) -> DataFrame:
-    """(k, tk, bands): the id, the text's MD5, and its band hashes (none for a text without words)."""
+    """(k, tk, m, bands): the id, the text's MD5, the total weight of its shingles, and its band hashes (none for a
+    text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_batches(batches, BATCH_BYTES):
-            texts = b.column(0).to_pylist()
-            items, owner = shingles(texts, size)
-            n = None
-            if weights == "count":
-                both = [np.unique(items[owner == i], return_counts=True) for i in range(len(texts))]
-                owner = np.repeat(np.arange(len(texts)), [len(x[0]) for x in both])
-                items, n = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]).astype(np.float64)
-            elif len(owner):
-                order = np.argsort(owner, kind="stable")
-                items, owner = items[order], owner[order]
-            keys = bands(signatures(items, n, owner, len(texts), coordinates), rows)
-            some = np.zeros(len(texts), bool)
-            some[owner] = True
-            got = pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], got], ["k", "tk", "bands"])
+            n = b.num_rows
+            items, owner, times = weighted(*shingles(b.column(0).to_pylist(), size), weights)
+            total = np.bincount(owner, times, n).astype(np.int64)
+            keys = np.zeros((n, coordinates // rows), np.int64)
+            heavy = np.zeros(n, bool)
+            heavy[owner[times > 1]] = True
+            for some, w in ((~heavy, None), (heavy, times.astype(np.float64))):
+                at = some[owner]
+                if at.any():
+                    keys[some] = bands(signatures(items[at], None if w is None else w[at], owner[at], n, coordinates)[some], rows)
+            got = pa.array([k if t else [] for k, t in zip(keys, total)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(total), got], ["k", "tk", "m", "bands"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(text.alias("t"), F.col(id_col).alias("k"), F.md5(text).alias("tk"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, tk string, bands array<long>")
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, tk string, m long, bands array<long>")
 
 
-def shingle_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
-    """(node, t) -> (node, items, counts): sorted shingle hashes (their upper 32 bits: two texts of 20,000
-    words share one by chance in ten pairs) and weights, little-endian."""
+def element_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
+    """(node, t) -> (node, items): sorted 64-bit hashes of the shingles; the n-th occurrence of a shingle is an element
+    of its own, so that the Jaccard similarity of two sets is the weighted one of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            items = pa.array([(e >> np.uint64(32)).astype(np.uint32).tobytes() for e, _ in sets], pa.binary())
-            counts = pa.array([w.astype(np.float32).tobytes() if weights == "count" else None for _, w in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), items, counts], ["node", "items", "counts"])
+        for b in byte_batches(batches, BATCH_BYTES):
+            items, owner = elements(*shingles(b.column(0).to_pylist(), size), weights)
+            ends = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(items.view(np.int64)))], ["node", "items"])
 
-    return texts.select("node", "t").mapInArrow(run, "node long, items binary, counts binary")
+    return texts.select("t", "node").mapInArrow(run, "node long, items array<long>")
 
 
-def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None) -> float:
-    """(Weighted) Jaccard similarity of two sorted shingle sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct elements."""
     if not len(x) or not len(y):
         return 0.0
     i = np.searchsorted(y, x)
     i[i == len(y)] = 0
-    same = y[i] == x
-    if wa is None or wb is None:
-        n = int(same.sum())
-        return n / (len(x) + len(y) - n)
-    u, v = np.frombuffer(wa, np.float32).astype(np.float64), np.frombuffer(wb, np.float32).astype(np.float64)
-    n = float(np.minimum(u[same], v[i[same]]).sum())
-    return n / (u.sum() + v.sum() - n)
+    n = int((y[i] == x).sum())
+    return n / (len(x) + len(y) - n)
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -79,38 +73,52 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [similarity(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[2:])
+            s = [similarity(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb"))
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     full = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return full.select("a", "b", "ia", "ca", "ib", "cb").mapInArrow(run, "a long, b long, s double")
+    return full.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, s double")
 
 
-def pool(df: DataFrame) -> DataFrame:
-    """A union in no more partitions than a shuffle has."""
-    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def ordered(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def hopeless(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node): texts that can be linked to no other of `sets`. Of a text's shingles a share u is in no other text; its
-    similarity to any of them is then 1 - u at most."""
+def alike(threshold: float, m1, m2, most=None) -> Column:
+    """Whether two sets of these sizes with `most` common elements at most can be similar enough."""
+    m1, m2 = F.col(m1), F.col(m2)
+    ok = F.least(m1, m2) >= threshold * F.greatest(m1, m2) - EPS
+    return ok if most is None else ok & (most >= threshold / (1 + threshold) * (m1 + m2) - EPS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.unique(np.frombuffer(items, np.uint32)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], ["h", "node"])
 
-    each = sets.select("node", "items").mapInArrow(run, "h long, node long")
-    alone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("u"))
-    size = sets.select("node", (F.octet_length("items") / 4).alias("size"))
-    return alone.join(size.hint("merge"), "node").filter(F.col("u") > (1 - threshold) * F.col("size") + 1e-6).select("node")
+def rare_prefixes(sets: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+    """(node, m, u, rare): of each text of `crowd` its size, the number of its elements that no other of these texts
+    has, and the rarest of the others, rarest first.
 
+    Two sets with a similarity of `threshold` or more have a common element among the rarest m - ceil(threshold * m) + 1
+    of each. Those of one text only come first and lead nowhere; a text with more of them than that is not listed: it
+    can be linked to none of `crowd`.
+    """
+    each = sets.join(crowd.hint("merge"), "node").select("node", F.size("items").cast("long").alias("m"), F.explode("items").alias("h"))
+    met = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    known = each.join(met.hint("merge"), "h").groupBy("node").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("e"))
+    known = known.withColumn("u", F.col("m") - F.size("e"))
+    room = F.col("m") - F.ceil(threshold * F.col("m") - EPS) + 1 - F.col("u")
+    return known.filter(room > 0).select("node", "m", "u", F.slice("e.h", F.lit(1), room.cast("int")).alias("rare"))
 
-def ordered(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (of nodes with an edge) after further links."""
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    e = stored(links.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb")))
+    top = connected_components(e.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    own = labels.union(e.select("a", "ca")).union(e.select("b", "cb")).distinct()
+    out = stored(own.join(top.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    discard(e, top, labels)
+    return out
 
 
 def near_duplicates(
@@ -121,103 +129,95 @@ def near_duplicates(
     size: int = 5,
     coordinates: int = 110,
     rows: int = 5,
-    weights: str = "set",
+    weights: str = "count",
     carry_key: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, class_id (smallest id of its class), class_size, representative.
 
-    Two texts are linked when the Jaccard similarity of their five-word shingles is `threshold` or more (of shingle
-    counts with weights="count"); classes are the connected components. Equal texts are one class at once, whatever
-    their number. A text of fewer than five words is one shingle; texts without words (null, empty, blank) are linked
-    only to equal ones, null counting as empty. A null id is in the class of its text; one row of a class, with the
-    smallest id, is its representative. An empty table gives no rows; other columns are ignored.
+    Two texts are linked when the weighted Jaccard similarity of their five-word shingles is `threshold` or more; a
+    shingle weighs as often as it occurs (once with weights="set"). Classes are the connected components. Equal texts
+    are one class at once, whatever their number. A text of fewer than five words is one shingle; texts without words
+    (null, empty, blank) are linked only to equal ones, null counting as empty. A null id is in the class of its text;
+    one row of a class, with the smallest id, is its representative. An empty table gives no rows; other columns are
+    ignored.
 
     Distinct texts are hashed into 22 bands of 5 of the 110 coordinates: at similarity 0.8 the chance to share none is
-    2e-4, at 0.85 3e-6. A band key shared by up to 8 texts gives all its pairs. A larger one is cleared in rounds: hubs drawn by
-    hash, other ones in every band and four times as many in every round, are compared with the rest; what is not linked to
-    a hub goes on to the next round while the key has texts of different classes; texts of one class are not compared. A text y that a hub h did not link but that lies within twice the linking
-    distance of it may still be linked to a neighbour x of h (Jaccard distance is a metric); while their classes
-    differ, those pairs of the key are compared too. A text of large keys, over a fifth of whose shingles no other such
-    text has, can be linked to none of them and leaves these keys at once. So no group is expanded into all pairs and no link is given up.
+    2e-4, at 0.85 3e-6. A band key shared by up to 8 texts gives all its pairs. In a larger one every text is compared
+    with the key's most central text, the one with the smallest share of shingles found in no other text of large keys.
+    What is in one class then is compared no further. Of the other pairs those are compared that have one of their
+    rarest shingles in common and could by its place in both reach the threshold (prefix and position bounds are
+    exact); a shingle with very many of them gets hubs first, once more. So no group is expanded into all its pairs and
+    no link is given up.
     """
     prepare(docs.sparkSession)
-    base = cut(sketch(docs, text_col, id_col, size, coordinates, rows, weights).withColumn("uid", F.monotonically_increasing_id()))
+    base = stored(sketch(docs, text_col, id_col, size, coordinates, rows, weights).withColumn("uid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "uid")).alias("first")
-    nodes = base.groupBy("tk").agg(F.min("uid").alias("node"), first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("rep", F.col("first.k")))
-    flat = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+    nodes = stored(base.groupBy("tk").agg(F.min("uid").alias("node"), first, F.count("*").alias("copies"), F.first("m").alias("m"), F.first("bands").alias("bands")))
+    flat = nodes.select("node", "m", F.explode("bands").alias("key"))
     shared = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(flat.join(shared.hint("merge"), "key"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "tk", "rep"), "node")
+    members = stored(flat.join(shared.hint("merge"), "key"))
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "tk", F.col("first.k").alias("rk"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("rk")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("t"), F.md5(text).alias("tk"), F.col(id_col).alias("rep"))
-    texts = texts.withColumn("rk", F.coalesce(F.col("rep").cast("string"), F.lit(""))).drop("rep")
-    wanted = wanted.withColumn("rk", F.coalesce(F.col("rep").cast("string"), F.lit(""))).drop("rep")
-    sets = cut(shingle_sets(texts.join(wanted.hint("merge"), ["tk", "rk"]), size, weights).dropDuplicates(["node"]))
+    texts = docs.select(text.alias("t"), F.md5(text).alias("tk"), name(id_col)).join(wanted.select("node", "tk", name("rk")).hint("merge"), ["tk", "rk"])
+    sets = stored(element_sets(texts, size, weights).dropDuplicates(["node"]))
 
-    far = 2 * threshold - 1  # similarity at twice the linking distance
+    few = members.filter(F.col("n") <= SMALL)
+    left, right = few.select("key", F.col("node").alias("a"), F.col("m").alias("ma")), few.select("key", F.col("node").alias("b"), F.col("m").alias("mb"))
+    pairs = left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & alike(threshold, "ma", "mb")).select("a", "b")
     crowd = members.filter(F.col("n") > SMALL)
-    if weights == "set" and crowd.limit(1).count():
-        able = crowd.join(hopeless(sets.join(crowd.select("node").distinct().hint("merge"), "node"), threshold).hint("merge"), "node", "left_anti")
-        able = able.join(able.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "key").select("key", "node", F.col("m").alias("n"))
-        members = cut(pool(members.filter(F.col("n") <= SMALL).select("key", "node", "n").union(able)))
-    open_rows = members.select("key", "node", "n", F.col("node").alias("class"))
-    measured: DataFrame | None = None
-    history: DataFrame | None = None
-    turn = 0
-    while True:
-        few = open_rows.filter(F.col("n") <= SMALL)
-        left, right = few.select("key", F.col("node").alias("a"), F.col("class").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("class").alias("cb"))
-        pairs = left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-        many = open_rows.filter(F.col("n") > SMALL).select("key", "node", "class")
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << (2 * turn)))
-        drawn = many.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("class").alias("hub_class"))).alias("m"))
-        hubs = drawn.select("key", "m.hub", "m.hub_class")
-        stars = cut(many.join(hubs.hint("merge"), "key").filter("class <> hub_class").select("key", "node", "hub"))
-        history = stars if history is None else pool(history.union(stars))
-        pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub")))).distinct()
-        if measured is not None:
-            pairs = pairs.join(measured.hint("merge"), ["a", "b"], "left_anti")
-        new = measure(pairs, sets)
-        measured = cut(new if measured is None else pool(measured.union(new)))
-        links = measured.filter(F.col("s") >= threshold)
-        turn += 1
-        if stars.limit(1).count() == 0:
-            break
-        if turn == 1:  # the classes so far spare most rows the later rounds
-            early = connected_components(links).withColumnRenamed("label", "class")
-        # Rows that were no hub and that no hub linked go on, where a key has them in more than one class.
-        tied = pool(links.select("a", "b").union(links.select(F.col("b"), F.col("a")))).toDF("node", "hub")
-        held = stars.join(tied.hint("merge"), ["node", "hub"], "left_semi").select("key", "node").union(hubs.select("key", F.col("hub").alias("node")))
-        rest = many.select("key", "node").join(held.distinct().hint("merge"), ["key", "node"], "left_anti")
-        rest = rest.join(early.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        rest = cut(rest.select("key", "node", "class"))
-        mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-        open_rows = cut(rest.join(mixed.select("key", "n").hint("merge"), "key"))
-        if open_rows.limit(1).count() == 0:
-            break
+    crowded = bool(crowd.limit(1).count())
+    if crowded:
+        rare = stored(rare_prefixes(sets, crowd.select("node").distinct(), threshold))
+        able = crowd.select("key", "node").join(rare.select("node", "m", "u").hint("merge"), "node")
+        hub = F.min(F.struct((F.col("u") / F.col("m")).alias("own"), F.xxhash64("node"), F.col("node").alias("hub"), F.col("m").alias("mh"), F.col("u").alias("uh"))).alias("h")
+        stars = able.join(able.groupBy("key").agg(hub).select("key", "h.hub", "h.mh", "h.uh").hint("merge"), "key").filter("node <> hub")
+        stars = stars.filter(alike(threshold, "m", "mh", F.least(F.col("m") - F.col("u"), F.col("mh") - F.col("uh"))))
+        pairs = pairs.union(stars.select(*ordered(F.col("node"), F.col("hub"))))
+    measured = stored(measure(pairs.distinct(), sets))
     labels = connected_components(measured.filter(F.col("s") >= threshold))
-    # Neighbours of a hub in a large key: near misses whose classes still differ.
-    known = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "s")
-    known = pool(known.union(measured.select(F.col("b"), F.col("a"), "s")))
-    spokes = cut(history.join(known.filter(F.col("s") >= far - 1e-9).hint("merge"), ["node", "hub"]))
-    while spokes.filter(F.col("s") < threshold).limit(1).count():
-        classes = labels.withColumnRenamed("label", "class").hint("merge")
-        named = spokes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        close = named.filter(F.col("s") >= threshold).select("key", "hub", F.col("node").alias("x"), F.col("s").alias("sx"), F.col("class").alias("cx"))
-        misses = named.filter(F.col("s") < threshold).select("key", "hub", F.col("node").alias("y"), F.col("s").alias("sy"), F.col("class").alias("cy"))
-        reach = misses.join(close.hint("merge"), ["key", "hub"]).filter((F.col("cx") != F.col("cy")) & (F.col("sx") <= F.col("sy") + (1 - threshold) + 1e-9))
-        pairs = reach.select(*ordered(F.col("x"), F.col("y"))).distinct().join(measured.hint("merge"), ["a", "b"], "left_anti")
-        new = cut(measure(pairs, sets))
-        if new.filter(F.col("s") >= threshold).limit(1).count() == 0:
-            break
-        measured = cut(pool(measured.union(new)))
-        labels = connected_components(measured.filter(F.col("s") >= threshold))
-    node_class = cut(nodes.select("tk", "node", "first", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    per = node_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
-    named = node_class.select("tk", "label").join(per, "label").select("tk", F.col("first.k").alias("class_id"), F.col("first.uid").alias("lead"), "class_size")
+
+    if crowded:
+        listed = stored(rare.select("node", "m", "u", F.posexplode("rare").alias("i", "h")).select("h", "node", "m", (F.col("m") - F.col("u") - F.col("i")).alias("left")))
+        entries, turn, gained, last = listed.count(), 0, 1.0, False
+        rounds = [rare, listed, measured]
+        while not last:
+            named = listed.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
+            sums = named.groupBy("h", "class").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("classes"))
+            mixed = stored(named.join(sums.filter("classes > 1").hint("merge"), "h"))
+            # Each shingle of n texts, c of them in each class, holds (n^2 - sum of c^2) / 2 pairs: as a sum over its rows.
+            work = mixed.agg(F.sum((F.col("n") - F.col("q") / F.col("n")) / 2)).first()[0] or 0.0
+            last = work <= DENSE * entries or gained < 0.01
+            one = mixed.select("h", F.col("node").alias("a"), F.col("m").alias("ma"), F.col("left").alias("fa"), F.col("class").alias("ca"))
+            if last:
+                two = mixed.select("h", F.col("node").alias("b"), F.col("m").alias("mb"), F.col("left").alias("fb"), F.col("class").alias("cb"))
+                both = one.join(two.hint("merge"), "h").filter("a < b AND ca <> cb")
+            else:
+                pick = F.min(F.struct(-F.col("left") / F.col("m"), F.xxhash64("node", F.lit(turn)), F.col("node").alias("b"), F.col("m").alias("mb"), F.col("left").alias("fb"), F.col("class").alias("cb")))
+                both = one.join(mixed.groupBy("h").agg(pick.alias("p")).select("h", "p.b", "p.mb", "p.fb", "p.cb").hint("merge"), "h").filter("ca <> cb")
+            # `left`: how many elements follow from this one on, in order of rarity; no more can be common.
+            both = both.filter(alike(threshold, "ma", "mb", F.least("fa", "fb"))).select(*ordered(F.col("a"), F.col("b"))).distinct()
+            found = stored(measure(both.join(measured.hint("merge"), ["a", "b"], "left_anti"), sets))
+            links = found.filter(F.col("s") >= threshold)
+            n = links.count()
+            if n:
+                labels = join_classes(labels, links)
+            rounds.append(found)
+            if not last:
+                measured = measured.union(found)
+            discard(mixed)
+            turn, gained = turn + 1, n / max(1, entries)
+        discard(*rounds)
+
+    # Only texts with a link need their class looked up; every other one is a class with its copies.
+    linked = nodes.select("node", "first", "copies").join(labels.hint("merge"), "node")
+    per = linked.groupBy("label").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
+    linked = stored(linked.select("node", "label").join(per.hint("merge"), "label").select("node", "lead", "class_size"))
+    discard(members, sets, measured, labels)
+    named = nodes.select("tk", "node", "first", "copies").join(linked.hint("merge"), "node", "left")
+    named = named.select("tk", F.coalesce("lead", "first").alias("lead"), F.coalesce("class_size", "copies").alias("class_size"))
     out = base.select("k", "tk", "uid").join(named.hint("merge"), "tk")
-    return out.select(F.col("k").alias(id_col), "class_id", "class_size", (F.col("uid") == F.col("lead")).alias("representative"), *([F.col("tk").alias("text_key")] if carry_key else []))
+    return out.select(F.col("k").alias(id_col), F.col("lead.k").alias("class_id"), "class_size", (F.col("uid") == F.col("lead.uid")).alias("representative"), *([F.col("tk").alias("text_key")] if carry_key else []))
 
 
 def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -134,11 +134,12 @@ def test_packing_balances_cost():
     assert np.std(cost) < np.std(first_fit)
 
 
-def brute_classes(rows, size=5, threshold=0.8):
-    sets = []
+def brute_classes(rows, size=5, threshold=0.8, weights="count"):
+    bags = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+        bag = Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)] if w else [])
+        bags.append(bag if weights == "count" else Counter(set(bag)))
     top = list(range(len(rows)))
 
     def find(i):
@@ -149,7 +150,7 @@ def brute_classes(rows, size=5, threshold=0.8):
     for i in range(len(rows)):
         for j in range(i):
             same = (rows[i][1] or "") == (rows[j][1] or "")
-            if same or (sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold):
+            if same or (bags[i] and bags[j] and (bags[i] & bags[j]).total() / (bags[i] | bags[j]).total() >= threshold):
                 top[find(i)] = find(j)
     least = defaultdict(list)
     for i, (k, _) in enumerate(rows):
@@ -167,24 +168,44 @@ def drifting(n, words, rng, edits):
     return out
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
-    """Chains of near copies that drift apart, exact copies, a shared passage; with `small` 2 nearly every key is large."""
+@pytest.mark.parametrize(("small", "dense", "weights"), [(8, 20, "count"), (2, 20, "set"), (2, 0, "count")])
+def test_near_duplicates_equal_brute_force(spark, small, dense, weights, monkeypatch):
+    """Chains of near copies that drift apart, exact copies, a shared passage, repeated lines; with `small` 2 nearly
+    every key is large, with `dense` 0 hubs are tried as long as they find links."""
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "DENSE", dense)
     rng = random.Random(5)
     words = [f"v{i}" for i in range(3000)]
     passage = " ".join(rng.choice(words) for _ in range(60))
+    line = " ".join(rng.choice(words) for _ in range(9)) + "\n"
     t = drifting(25, words, rng, 2) + drifting(12, words, rng, 4)
     t += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) for _ in range(14)]
+    t += [x + "\n" + line * k for x in (t[0], passage) for k in (1, 2, 3, 9, 10, 40, 45)]
     t += [t[3]] * 10 + ["", "", None, "a b", "a b", "c"]
     rng.shuffle(t)
     rows = list(enumerate(t))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute_classes(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()
+    want = brute_classes(rows, weights=weights)
     assert {r.doc_id: r.class_id for r in got} == want
     assert sum(r.representative for r in got) == len(set(want.values()))
     assert all(r.class_size == list(want.values()).count(r.class_id) for r in got)
-    assert neardup.representatives(spark.createDataFrame(rows + rows[:5], "doc_id long, text string")).count() == len(set(want.values()))
+    kept = neardup.representatives(spark.createDataFrame(rows + rows[:5], "doc_id long, text string"), weights=weights)
+    assert kept.count() == len(set(want.values()))
+
+
+def test_near_duplicates_of_one_hot_family(spark):
+    """Many copies of one text with one to thirty edits each: far outliers stay alone, no link is lost."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(rng.randrange(1, 30) if i % 3 else 1):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
