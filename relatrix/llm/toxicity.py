@@ -28,30 +28,36 @@ def segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int
     """All maximal scoring segments (first, last, score), in linear time.
 
     `scores` are the (position, score) of the tokens that have a score of their own, ascending; each token between
-    two of them scores `gap` (negative). Candidates are kept on a list with the cumulative score before and after
-    them; a new candidate joins all since the nearest earlier one with a smaller left sum when it ends higher.
+    two of them scores `gap` (negative). A new candidate joins all since the nearest earlier one with a smaller left
+    sum when it ends higher. Each candidate keeps a link to that earlier one, which later searches follow; where there
+    is none, all earlier candidates are final and leave the list.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, left sum, right sum
+    done: list[tuple[int, int, float]] = []
+    open_: list[tuple[int, int, float, float, int]] = []  # first, last, left sum, right sum, link
     total, at = 0.0, None
     for position, score in scores:
         if at is not None:
             total += gap * (position - at - 1)
         at = position
-        left = total
+        low = total
         total += score
         if score <= 0:
             continue
-        first, low, high = position, left, total
+        first, high = position, total
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
-                found.append((first, position, low, high))
+            j = len(open_) - 1
+            while j >= 0 and open_[j][2] >= low:
+                j = open_[j][4]
+            if j < 0:
+                done += [(a, b, r - l) for a, b, l, r, _ in open_]
+                open_ = [(first, position, low, high, -1)]
                 break
-            first, low = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            if open_[j][3] >= high:
+                open_.append((first, position, low, high, j))
+                break
+            first, low = open_[j][0], open_[j][2]
+            del open_[j:]
+    return done + [(a, b, r - l) for a, b, l, r, _ in open_]
 
 
 @dataclass(frozen=True)
