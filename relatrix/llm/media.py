@@ -18,9 +18,9 @@ ROWS = 4096
 DELAY_CS = 10
 BINS = 16
 BATCH_BYTES = 4 << 20
-FRAME = "struct<at_ms:bigint,delay_ms:bigint,disposal:int,left:int,top:int,width:int,height:int,histogram:array<bigint>>"
+FRAME = "struct<at_ms:bigint,delay_ms:bigint,disposal:int,left:int,top:int,width:int,height:int,red:array<bigint>,green:array<bigint>,blue:array<bigint>>"
 FRAME_TYPE = pa.struct(
-    [("at_ms", pa.int64()), ("delay_ms", pa.int64()), *((n, pa.int32()) for n in ("disposal", "left", "top", "width", "height")), ("histogram", pa.list_(pa.int64()))]
+    [("at_ms", pa.int64()), ("delay_ms", pa.int64()), *((n, pa.int32()) for n in ("disposal", "left", "top", "width", "height")), *((n, pa.list_(pa.int64())) for n in ("red", "green", "blue"))]
 )
 
 
@@ -48,15 +48,16 @@ def store_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def read_one(data: bytes) -> tuple[list[dict], bytes]:
-    """Frames with time, place and a 16-bin luma histogram of the visible canvas; the red samples of each frame's box."""
+    """Frames with time, place and a 16-bin histogram of each colour of the visible canvas; the red samples of each
+    frame's box."""
     width, height, shared, frames = gif.decode(data)
     out, samples, at = [], [], 0
     for f, canvas in zip(frames, gif.shown(width, height, shared, frames)):
         h, w = f.pixels.shape
         seen = canvas[canvas[..., 3] > 0]
-        luma = (seen[:, 0].astype(np.uint32) * 299 + seen[:, 1].astype(np.uint32) * 587 + seen[:, 2].astype(np.uint32) * 114) // 1000
-        bins = np.bincount(luma >> 4, minlength=BINS).tolist()
-        out.append(dict(at_ms=at, delay_ms=10 * f.delay_cs, disposal=f.disposal, left=f.left, top=f.top, width=w, height=h, histogram=bins))
+        red, green, blue = (np.bincount(seen[:, c] >> 4, minlength=BINS).tolist() for c in range(3))
+        place = dict(left=f.left, top=f.top, width=w, height=h)
+        out.append(dict(at_ms=at, delay_ms=10 * f.delay_cs, disposal=f.disposal, **place, red=red, green=green, blue=blue))
         samples.append(canvas[f.top : f.top + h, f.left : f.left + w, 0].tobytes())
         at += 10 * f.delay_cs
     return out, b"".join(samples)
@@ -84,21 +85,22 @@ def read_gifs(rows: DataFrame, media_col: str = "media", samples: bool = False)
                 errors.append(e)
                 raw.append(s if samples else None)
             new = [pa.array(frames, pa.list_(FRAME_TYPE)), pa.array(errors, pa.string()), *([pa.array(raw, pa.binary())] if samples else [])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names)
 
     made = {"frames": f"array<{FRAME}>", "media_error": "string", **({"samples": "binary"} if samples else {})}
     kept = [f for f in rows.schema.fields if f.name not in made and f.name != media_col]
-    src = rows.select(F.col(media_col).alias("media_"), *[F.col(f"`{f.name}`") for f in kept])
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields] + [f"{k} {v}" for k, v in made.items()])
-    schema = pa.schema([(n, pa.null()) for n in [*src.columns, *made]])
-    return src.mapInArrow(run, ddl).withColumnRenamed("media_", media_col)
+    src = rows.select(F.col(media_col).alias("c0"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept, 1)])
+    names = [*src.columns, *made]
+    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields] + [f"{k} {v}" for k, v in made.items()])
+    return src.mapInArrow(run, ddl).toDF(media_col, *[f.name for f in kept], *made)
 
 
 def payload_digest(docs: DataFrame) -> DataFrame:
     """The op8 rows: texts stored as GIF, read back, and described."""
     d = read_gifs(store_texts(docs), samples=True)
     size = F.octet_length("samples")
-    hist = F.transform("frames", lambda f: F.array_join(F.transform(f["histogram"], lambda n: n.cast("string")), ","))
+    bins = lambda f: F.concat(f["red"], f["green"], f["blue"])
+    hist = F.transform("frames", lambda f: F.array_join(F.transform(bins(f), lambda n: n.cast("string")), ","))
     return d.select(
         "doc_id",
         "n_bytes",
@@ -107,5 +109,5 @@ def payload_digest(docs: DataFrame) -> DataFrame:
         F.crc32(F.substring("samples", -64, 64)).cast("long").alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("luma16:"), F.array_join(hist, ";")).alias("feature"),
+        F.concat(F.lit("rgb16:"), F.array_join(hist, ";")).alias("feature"),
     )
