@@ -11,7 +11,9 @@ import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import json
 import re
+from functools import cache
 
 import numpy as np
 
@@ -29,15 +31,38 @@ def tokenizer_path(name: str = DEFAULT_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+@cache
+def library(path: str):
+    """The library's tokenizer for a file, without truncation and padding; one per worker process."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    return lib
+
+
+@cache
+def parts_at_blanks(path: str) -> bool:
+    """Whether a text may be cut at its blanks: the file's pre-tokenizer keeps only what its pattern finds, that is no
+    blank, and no added token has a blank or takes those around it."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    steps = (j.get("pre_tokenizer") or {}).get("pretokenizers") or [j.get("pre_tokenizer") or {}]
+    drops = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
+    plain = all(not (t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in j.get("added_tokens", []))
+    lib = library(path)
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids
+    return drops and plain and all(ids(f"a{x}b") == ids("a") + ids("b") for x in (" ", "\n", "\t ", "\r\n"))
+
+
 class WordTokens:
     """ids(text) gives little-endian unsigned 32-bit ids; the library's own result for the whole text."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        if not parts_at_blanks(path):
+            raise ValueError(f"{path} does not drop blanks: its texts cannot be encoded word by word")
+        self.lib = library(path)
         ends = np.zeros(self.lib.get_vocab_size(), bool)
         suffix = getattr(self.lib.model, "end_of_word_suffix", None)
         for piece, i in self.lib.get_vocab(with_added_tokens=False).items():
