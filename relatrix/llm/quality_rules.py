@@ -122,8 +122,8 @@ def kept_documents(docs: DataFrame, text_col: str = "text", min_kept: float = 0.
     work out every measure a second time.
     """
     d = clean_lines(docs, text_col, min_kept).withColumn("line_", F.monotonically_increasing_id())
-    d = d.filter(F.col("kept") & (F.col("line_") >= 0)).select("row.*", F.col("clean_text").alias("clean_text_"))
-    return d.withColumn(text_col, F.col("clean_text_")).drop("clean_text_")
+    fields = [F.col("clean_text") if n == text_col else F.col("row").getField(n) for n in docs.columns]
+    return d.filter(F.col("kept") & (F.col("line_") >= 0)).select(*[f.alias(n) for f, n in zip(fields, docs.columns)])
 
 
 def oracle_sql(min_kept: float = 0.5) -> str:

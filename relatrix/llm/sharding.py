@@ -113,7 +113,10 @@ def assign_shards(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> DataFrame:
-    """Write the records, with shard and slot, as Parquet under `path`/shard=N; returns what was written."""
-    d = assign_shards(docs, shards, carry=True, **options).select("row.*", "shard", "slot", "key_range")
+    """Write the records, with shard, slot and key_range (input columns of these names are replaced), as Parquet under
+    `path`/shard=N; returns what was written."""
+    made = ("shard", "slot", "key_range")
+    d = assign_shards(docs, shards, carry=True, **options)
+    d = d.select(*[F.col("row").getField(n).alias(n) for n in docs.columns if n not in made], *made)
     d.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
