@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes, in training order; a document taken twice is there twice."""
     prepare(spark)
-    d = mixing.curriculum(mixing.mix(docs, carry=True))
+    d = mixing.curriculum(mixing.mix(docs, carry=True), position=None)
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
