@@ -28,12 +28,12 @@ def changed_ranges(old_text: str, new_text: str) -> list[tuple[int, int]]:
 
     Windows of both texts wait on a list. A window sheds what both sides share at its ends and is parted at the first
     new line that occurs once on either side; without such a line it is one range. Where only old lines are left, the
-    surviving line beside the gap stands for them.
+    surviving line beside the gap stands for them. Texts that differ only in their final line feed differ in the last line.
     """
-    old, new = (t.replace("\r\n", "\n").splitlines() if "\r" in t else t.split("\n") for t in (old_text, new_text))
-    for lines, text in ((old, old_text), (new, new_text)):
-        if lines and lines[-1] == "" and (text.endswith("\n") or text == ""):
-            lines.pop()
+    old_text, new_text = (t.replace("\r\n", "\n") for t in (old_text, new_text))
+    if old_text == new_text:
+        return []
+    old, new = ([] if not t else t.removesuffix("\n").split("\n") for t in (old_text, new_text))
     found: list[tuple[int, int]] = []
     waiting = [(0, len(old), 0, len(new), 0)]
     while waiting:
@@ -59,6 +59,8 @@ def changed_ranges(old_text: str, new_text: str) -> list[tuple[int, int]]:
             continue
         i = old.index(new[anchor], a, b)
         waiting += [(a, i, c, anchor, splits + 1), (i + 1, b, anchor + 1, d, splits + 1)]
+    if not found and new:
+        found.append((len(new), len(new)))
     return merge_ranges(found)
 
 

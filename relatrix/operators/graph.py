@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, prepare, stored
 
+#: A graph of at most so many distinct edges is searched by one task (some 200 MB); a larger one by joins until it is.
+LOCAL_EDGES = 1_000_000
 LOW_ACTION, LOW_DIAGNOSTIC, LOW_LIBRARY = 0.65, 0.6, 0.8
 
 
@@ -70,68 +76,185 @@ def impact(edges: DataFrame, depth: int = 3) -> DataFrame:
     return out.filter("node <> affected").groupBy("node", "affected").agg(F.min("depth").cast("long").alias("depth"))
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """stored(df) and its rows, counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path of one edge or more; semi-naive, each round joins only what the last one found."""
-    e = cut(edges.select("src", "dst").distinct())
-    known, new = e, e
+    e = stored(edges.select("src", "dst").distinct())
+    rounds = [e]
+    known = new = e
     while True:
         step = new.withColumnRenamed("dst", "mid").join(e.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        new = cut(step.join(known, ["src", "dst"], "left_anti"))
-        if not new.limit(1).count():
+        new, n = counted(step.join(known, ["src", "dst"], "left_anti"))
+        if not n:
             return known
-        known = cut(known.union(new))
-
-
-def _spread(colors: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest color along edges to a fixpoint: (node, color)."""
+        rounds.append(new)
+        known = known.union(new)
+
+
+def strong_local(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest node of the strong component of each of the nodes 0, 1, ... (one pass over lists, no recursion)."""
+    n = int(max(src.max(), dst.max())) + 1
+    order = np.argsort(src, kind="stable")
+    heads = dst[order].tolist()
+    ends = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    met, low, comp = [-1] * n, [0] * n, [-1] * n
+    open_: list[int] = []
+    at = list(ends[:n])
+    clock = 0
+    for root in range(n):
+        if met[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if met[v] < 0:
+                met[v] = low[v] = clock
+                clock += 1
+                open_.append(v)
+            if at[v] < ends[v + 1]:
+                w = heads[at[v]]
+                at[v] += 1
+                if met[w] < 0:
+                    path.append(w)
+                elif comp[w] < 0:
+                    low[v] = min(low[v], met[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == met[v]:
+                cut_at = len(open_) - 1
+                while open_[cut_at] != v:
+                    cut_at -= 1
+                members = open_[cut_at:]
+                del open_[cut_at:]
+                least = min(members)
+                for w in members:
+                    comp[w] = least
+    return np.array(comp)
+
+
+def _by_one_task(e: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of `e`, a stored table of at most LOCAL_EDGES edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches([b for b in batches if b.num_rows])
+        if not t.num_rows:
+            return
+        both = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["src"].combine_chunks(), t["dst"].combine_chunks())])
+        names, codes = np.unique(both.to_numpy(zero_copy_only=False), return_inverse=True)
+        comp = strong_local(codes[: t.num_rows], codes[t.num_rows :])
+        yield pa.RecordBatch.from_arrays([pa.array(names, both.type), pa.array(names[comp], both.type)], ["node", "component"])
+
+    prepare(e.sparkSession)
+    kind = e.schema["src"].dataType.simpleString()
+    return e.select("src", "dst").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def _without(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    return e.join(nodes.toDF("src"), "src", "left_anti").join(nodes.toDF("dst"), "dst", "left_anti").select("src", "dst")
+
+
+def _contract(e: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """(edges, (node, before, after), number of edges): inner nodes of chains, no two of them neighbours, leave; an edge
+    from the one before to the one after stands for each. A quarter of every chain goes at a time."""
+    ins = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
+    outs = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("after"))
+    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
+    inner = ins.filter("n_in = 1").join(outs.filter("n_out = 1"), "node").filter((coin("node") == 1) & (coin("before") == 0))
+    inner = stored(inner.select("node", "before", "after"))
+    rest = _without(e, inner.select("node")).union(inner.select(F.col("before").alias("src"), F.col("after").alias("dst")))
+    out, n = counted(rest.filter("src <> dst").distinct())
+    return out, inner, n
+
+
+def _trim(e: DataFrame) -> tuple[DataFrame, int]:
+    """Without the edges at nodes that no edge enters or none leaves: those are alone."""
+    both = e.select(F.col("dst").alias("n")).join(e.select(F.col("src").alias("n")), "n", "left_semi").distinct()
+    return counted(e.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+
+
+def _one_colouring(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((node, component) found, edges left, number of edges): forward colours by the smallest node that reaches each,
+    then a walk back from every colour's root inside its colour."""
+    live = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    colors = stored(live.select("node", F.col("node").alias("color")))
     while True:
-        got = edges.join(colors.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("in"))
-        new = cut(colors.join(got, "node", "left").select("node", F.col("color").alias("old"), F.least("color", F.coalesce("in", "color")).alias("color")))
-        changed = new.filter("color <> old").limit(1).count()
-        colors = new.select("node", "color")
-        if not changed:
-            return colors
+        got = e.join(colors.toDF("src", "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("in"))
+        seen = Observation()
+        new = colors.join(got, "node", "left").select("node", F.col("color").alias("old"), F.least("color", F.coalesce("in", "color")).alias("color"))
+        new = stored(new.observe(seen, F.sum((F.col("color") != F.col("old")).cast("long")).alias("n")).select("node", "color"))
+        discard(colors)
+        colors = new
+        if not seen.get["n"]:
+            break
+    inside = e.join(colors.toDF("src", "cs"), "src").join(colors.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
+    inside = stored(inside)
+    front = member = stored(colors.filter("node = color").select("node", F.col("color").alias("component")))
+    while True:
+        step = inside.join(front.toDF("dst", "component"), "dst").select(F.col("src").alias("node"), "component").distinct()
+        front, n = counted(step.join(member, "node", "left_anti"))
+        if not n:
+            break
+        member = stored(member.union(front))
+    discard(inside, colors)
+    left, n = counted(_without(e, member.select("node")))
+    return member, left, n
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) of every node of an edge; component is its smallest node.
 
-    Rounds of trimming (a node without an edge in or out is alone), forward colouring by the smallest node that
-    reaches it, and a backward walk from each colour's root inside the colour.
+    While there are more than `local_edges` distinct edges, rounds of joins make the graph smaller: chains are
+    contracted by independent coins, nodes without an edge in or out are trimmed, and where that takes off little, one
+    forward colouring and backward walk finds components. What is left then goes through one task; nothing depends on
+    where that happens but the time. Contracted nodes come back last, latest first: one is in the component of the node
+    before it if the node after it is in the same, and alone otherwise.
     """
-    e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    e, n = counted(edges.select("src", "dst").filter("src <> dst").distinct())
+    found: list[DataFrame] = []
+    chains: list[DataFrame] = []
+    turn = 0
+    while n > local_edges:
+        start, old = n, e
+        e, inner, n = _contract(old, turn)
+        chains.append(inner)
+        discard(old)
+        if n:
+            old, (e, n) = e, _trim(e)
+            discard(old)
+        if n > local_edges and n > 0.9 * start:
+            old, (member, e, n) = e, _one_colouring(e)
+            found.append(member)
+            discard(old)
+        turn += 1
+    if n:
+        found.append(_by_one_task(e))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    done: DataFrame | None = None
-    while True:
-        while True:  # trim
-            ins, outs = e.select(F.col("dst").alias("n")).distinct(), e.select(F.col("src").alias("n")).distinct()
-            both = ins.join(outs, "n", "left_semi")
-            kept = cut(e.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == e.count()
-            e = kept
-            if same:
-                break
-        if not e.limit(1).count():
-            break
-        live = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-        colors = _spread(cut(live.select("node", F.col("node").alias("color"))), e)
-        own = colors.withColumnRenamed("node", "src").withColumnRenamed("color", "cs")
-        inside = e.join(own, "src").join(colors.withColumnRenamed("node", "dst"), "dst").filter("cs = color").select("src", "dst")
-        inside = cut(inside)
-        member = cut(colors.filter("node = color").select("node", F.col("color").alias("component")))
-        front = member
-        while True:  # backward from the roots
-            step = inside.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component").distinct()
-            front = cut(step.join(member, "node", "left_anti"))
-            if not front.limit(1).count():
-                break
-            member = cut(member.union(front))
-        done = member if done is None else done.union(member)
-        gone = member.select("node")
-        e = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if done is None:
+    if not found and not chains:
         return nodes.withColumn("component", F.col("node"))
-    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    none = nodes.limit(0).select("node", F.col("node").alias("component"))
+    known = none
+    for d in found:
+        known = known.union(d)
+    if not chains:
+        return nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    gone = chains[0].select("node")
+    for d in chains[1:]:
+        gone = gone.union(d.select("node"))
+    known = stored(nodes.join(gone, "node", "left_anti").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    for inner in reversed(chains):
+        d = inner.join(known.toDF("before", "cb"), "before").join(known.toDF("after", "ca"), "after")
+        back = d.select("node", F.when(F.col("cb") == F.col("ca"), F.col("cb")).otherwise(F.col("node")).alias("component"))
+        known = stored(known.union(back))
+    least = known.groupBy("component").agg(F.min("node").alias("least"))
+    return known.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def cyclic(components: DataFrame) -> DataFrame:

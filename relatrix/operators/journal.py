@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 
 def parse(texts: DataFrame) -> DataFrame:
     """(text) of whole journal files -> stamp, action, file, reason. A block is `## STAMP - ACTION`, `File:`, `Reason:`."""
@@ -34,23 +39,34 @@ def by_day(journal: DataFrame) -> DataFrame:
 def suppress_duplicates(journal: DataFrame, window_s: int = 120, keys: tuple[str, ...] = ("action", "file", "reason"), order: str = "event_id", by_day: bool = True) -> DataFrame:
     """Greedy: an entry is dropped if a *kept* one of the same keys (and day) is at most `window_s` older, or newer.
 
-    The state of a key is one stamp, so a task holds one key's rows at a time; batches inside keep memory flat. The day
-    is part of the key in the journal's own rule, which also splits long keys.
+    Entries of a key stand in the order of their stamp, then `order`, in one sorted partition, through which a task
+    goes batch by batch with one key and one stamp in hand: a very long key costs time, not memory. The day is part of
+    the key in the journal's own rule, which also splits long keys. An entry without a stamp is kept.
     """
-    day = [F.to_date("stamp").alias("day_")] if by_day else [F.lit(0).alias("day_")]
-    d = journal.select("*", *day)
-    schema = journal.schema
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stamp", order], kind="stable")
-        last, kept = None, []
-        for s in pdf["stamp"]:
-            new = last is None or (s - last).total_seconds() > window_s
-            kept.append(new)
-            last = s if new else last
-        return pdf[kept].drop(columns="day_")
-
-    return d.groupBy(*keys, "day_").applyInPandas(keep, schema)
+    prepare(journal.sparkSession)
+    names = journal.columns
+    by = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)] + ([F.to_date("stamp").alias("kd")] if by_day else [])
+    stamp = F.unix_micros(F.col("stamp").cast("timestamp")).alias("us")
+    d = journal.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *by, stamp, F.col(f"`{order}`").alias("o"))
+    by = [c for c in d.columns if c[0] == "k"]
+    d = d.repartition(*by).sortWithinPartitions(*by, "us", "o")
+    width, gap = len(names), window_s * 1_000_000
+    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(journal.schema.fields)]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            kept = np.zeros(b.num_rows, bool)
+            own = zip(*(b.column(i).to_pylist() for i in range(width, width + len(by))))
+            for i, (k, s) in enumerate(zip(own, b.column(width + len(by)).to_pylist())):
+                if k != key:
+                    key, last = k, None
+                kept[i] = s is None or last is None or s - last > gap
+                if kept[i] and s is not None:
+                    last = s
+            yield pa.RecordBatch.from_arrays(b.columns[:width], [f"c{i}" for i in range(width)]).filter(pa.array(kept))
+
+    return d.mapInArrow(keep, ", ".join(kinds)).toDF(*names)
 
 
 def pending(journal: DataFrame, order: str = "event_id") -> DataFrame:
@@ -58,23 +74,34 @@ def pending(journal: DataFrame, order: str = "event_id") -> DataFrame:
     return journal.groupBy("file").agg(F.min_by("action", order).alias("message"), F.min(order).alias("first"))
 
 
+def _matches(files: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(file, key, why, pos, c): every key that names a file; c is 0 for the exact key, 1 for a directory, 2 for a glob.
+
+    Exact keys and directories meet the file and its ancestors by equality, whatever their number; only globs are tried
+    on every file.
+    """
+    r = reasons.select("key", "why", "pos", (F.col("key").contains("*") | F.col("key").contains("?")).alias("glob"))
+    parts = F.split("file", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
+    f = files.select("file").distinct()
+    ups = F.concat(ups, F.array(F.concat("file", F.lit("/"))))
+    plain = f.select("file", F.explode(ups).alias("key")).join(r, "key")
+    plain = plain.select("file", "key", "why", "pos", F.when(F.col("file") == F.col("key"), 0).otherwise(1).alias("c"))
+    quoted = F.regexp_replace("key", r"([\\.^$|()\[\]{}+])", r"\\$1")
+    rx = F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    globs = f.join(r.filter("glob").withColumn("rx", rx), F.rlike("file", F.col("rx"))).select("file", "key", "why", "pos", F.lit(2).alias("c"))
+    return plain.unionByName(globs)
+
+
 def reason_for(files: DataFrame, reasons: DataFrame) -> DataFrame:
     """(file) x (key, why, pos) -> (file, key, why): the exact key, else the longest directory, else the longest glob.
 
-    reasons is a batch argument: a few rows, so the theta join broadcasts them after a size check by the planner. In
-    globs `*` crosses directories.
+    In globs `*` crosses directories.
     """
-    r = reasons.withColumn("glob", F.col("key").contains("*") | F.col("key").contains("?"))
-    quoted = F.regexp_replace("key", r"([\\.^$|()\[\]{}+])", r"\\$1")
-    r = r.withColumn("rx", F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
-    exact = F.col("file") == F.col("key")
-    inside = F.col("key").endswith("/") & F.col("file").startswith(F.col("key"))
-    match = F.col("glob") & F.rlike("file", F.col("rx"))
-    d = files.select("file").join(r, exact | inside | match)
-    order = F.struct(F.when(exact, 0).when(inside, 1).otherwise(2).alias("c"), (-F.length("key")).alias("l"), F.col("pos"))
-    return d.groupBy("file").agg(F.min_by(F.struct("key", "why"), order).alias("m")).select("file", "m.key", "m.why")
+    order = F.struct("c", (-F.length("key")).alias("l"), F.col("pos"))
+    return _matches(files, reasons).groupBy("file").agg(F.min_by(F.struct("key", "why"), order).alias("m")).select("file", "m.key", "m.why")
 
 
 def unused_reasons(files: DataFrame, reasons: DataFrame) -> DataFrame:
-    used = reason_for(files, reasons).select("key").distinct()
-    return reasons.join(used, "key", "left_anti")
+    """The reasons whose key names no file; a key that another one beats is used all the same."""
+    return reasons.join(_matches(files, reasons).select("key").distinct(), "key", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, files, graph, health, journal, overlay
-from ..session import cut, prepare
+from ..session import prepare, stored
 from ..sources import adapters as A
 
 QUERIES: dict = {}
@@ -38,9 +38,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 EDGE = "src, dst, line, conditional, dynamic, via_barrel"
 
 
-@query("edge_merge", f"SELECT src, dst, min_by(line, seq) AS line, bool_or(conditional) AS conditional, bool_or(dynamic) AS dynamic, bool_and(via_barrel) AS via_barrel FROM raw_dense_v GROUP BY src, dst")
+@query("edge_merge", f"SELECT src, dst, min_by(line, seq) AS line, bool_or(conditional) AS conditional, bool_or(dynamic) AS dynamic, bool_and(via_barrel) AS via_barrel FROM raw_v GROUP BY src, dst")
 def _(s, d):
-    return graph.merge_edges(A.raw_edges(s, d, dense=True))
+    return graph.merge_edges(A.raw_edges(s, d))
 
 
 @query("edge_confidence", f"SELECT {EDGE}, confidence, reason FROM conf_v")
@@ -100,7 +100,7 @@ def _(s, d):
 
 @query(
     "impact_depth3",
-    """w(node, affected, depth) AS (SELECT dst, src, 1 FROM edges_v UNION ALL
+    """w(node, affected, depth) AS (SELECT dst, src, 1 FROM edges_v UNION
   SELECT w.node, e.src, w.depth + 1 FROM w JOIN edges_v e ON e.dst = w.affected WHERE w.depth < 3)
 SELECT node, affected, CAST(min(depth) AS BIGINT) AS depth FROM w WHERE node <> affected GROUP BY node, affected""",
     recursive=True,
@@ -123,7 +123,7 @@ def _(s, d):
 
 
 def components(s, d):
-    e = cut(edges(s, d))
+    e = stored(edges(s, d))
     return e, graph.strong_components(e)
 
 

@@ -26,14 +26,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_edges(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """lineitem as repeated evidence for edges part -> supplier key; the key range is the supplier table's row count."""
-    li = table(spark, sf_dir, "lineitem")
-    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n_sup"))
-    # One row: the supplier count.
-    d = li.join(F.broadcast(n), (F.col("l_partkey") < F.col("n_sup")) & (F.col("l_partkey") != F.col("l_suppkey")))
-    if not dense:
-        d = d.filter("l_quantity >= 49")
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as repeated evidence for edges part key -> supplier key, one space of nodes; every row but self-references."""
+    d = table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey")
     return d.select(
         F.col("l_partkey").alias("src"),
         F.col("l_suppkey").alias("dst"),
@@ -98,10 +93,9 @@ files_v AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, doc_
   'sha256:' || sha256(replace(coalesce(text, ''), chr(13) || chr(10), chr(10))) AS hash,
   CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), ''))
     + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS n_lines FROM documents),
-raw_dense_v AS (SELECT l_partkey AS src, l_suppkey AS dst, l_orderkey * 8 + l_linenumber AS seq, CAST(l_linenumber AS BIGINT) AS line,
-  l_returnflag = 'R' AS conditional, l_linestatus = 'O' AND l_discount >= 0.08 AS dynamic, l_tax >= 0.04 AS via_barrel, l_quantity
-  FROM lineitem WHERE l_partkey < (SELECT count(*) FROM supplier) AND l_partkey <> l_suppkey),
-raw_v AS (SELECT * FROM raw_dense_v WHERE l_quantity >= 49),
+raw_v AS (SELECT l_partkey AS src, l_suppkey AS dst, l_orderkey * 8 + l_linenumber AS seq, CAST(l_linenumber AS BIGINT) AS line,
+  l_returnflag = 'R' AS conditional, l_linestatus = 'O' AND l_discount >= 0.08 AS dynamic, l_tax >= 0.04 AS via_barrel
+  FROM lineitem WHERE l_partkey <> l_suppkey),
 edges_v AS (SELECT src, dst, min_by(line, seq) AS line, bool_or(conditional) AS conditional, bool_or(dynamic) AS dynamic,
   bool_and(via_barrel) AS via_barrel FROM raw_v GROUP BY src, dst),
 conf_v AS (SELECT *, CAST(CASE WHEN dynamic THEN 0.4 WHEN conditional THEN 0.55 WHEN via_barrel THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence,

@@ -44,6 +44,39 @@ def test_strong_components_on_random_digraphs(spark):
     assert all((a, b) in closure for a, b in pairs)
 
 
+@pytest.mark.parametrize("shape", ["random", "ring", "path", "two rings", "strings"])
+def test_strong_components_by_joins_alone(spark, shape):
+    """With `local_edges` 0 every round is joins; long chains take rounds by the logarithm of their length."""
+    rng = random.Random(4)
+    pairs = {
+        "random": {(rng.randrange(30), rng.randrange(30)) for _ in range(45)},
+        "ring": {(i, (i + 1) % 60) for i in range(60)},
+        "path": {(i, i + 1) for i in range(50)} | {(7, 7)},
+        "two rings": {(i, (i + 1) % 20) for i in range(20)} | {(i, 20 + (i + 1) % 20) for i in range(20, 40)} | {(3, 25), (39, 60)},
+        "strings": {("b", "a"), ("a", "c"), ("c", "b"), ("c", "d")},
+    }[shape]
+    kind = "string" if shape == "strings" else "long"
+    e = spark.createDataFrame(sorted(pairs), f"src {kind}, dst {kind}")
+    names = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(names)}
+    want = {names[k]: names[v] for k, v in tarjan(len(names), [(at[a], at[b]) for a, b in pairs]).items()}
+    for local in (0, 10**6):
+        assert {r.node: r.component for r in graph.strong_components(e, local).collect()} == want
+
+
+def test_strong_local_on_large_random_graphs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ring = np.arange(200_000)
+    assert (graph.strong_local(ring, np.roll(ring, -1)) == 0).all()
+    assert (graph.strong_local(ring[:-1], ring[1:]) == ring).all()
+    a, b = rng.integers(0, 60, 90), rng.integers(0, 60, 90)
+    got = graph.strong_local(a, b)
+    want = tarjan(len(got), list(zip(a.tolist(), b.tolist())))
+    assert {i: int(c) for i, c in enumerate(got)} == want
+
+
 def test_two_file_cycle(spark):
     raw = spark.createDataFrame([("a", "b", 1, 1, False, False, False, []), ("a", "b", 2, 9, True, False, True, ["x"]), ("b", "a", 3, 2, False, False, True, [])], "src string, dst string, seq long, line long, conditional boolean, dynamic boolean, via_barrel boolean, names array<string>")
     e = graph.merge_edges(raw)
@@ -74,6 +107,9 @@ def test_ranges():
     assert drift.changed_ranges("1\n2\n3\n4\n5\n", "1\nx\n3\n4\n5\n6\n") == [(2, 2), (6, 6)]
     assert drift.changed_ranges("1\n2\n3\n", "1\n3\n") == [(2, 2)]
     assert drift.changed_ranges("1\r\n2\r\n", "1\n2\n") == []
+    assert drift.changed_ranges("a\nb\n", "a\nb") == [(2, 2)] and drift.changed_ranges("a\nb", "a\nb\n") == [(2, 2)]
+    assert drift.changed_ranges("a\fb\r\nc\u2028d\r\ne\r\n", "a\fb\r\nc\u2028d\r\nx\r\n") == [(3, 3)]
+    assert drift.changed_ranges("", "a\n") == [(1, 1)] and drift.changed_ranges("a\n", "") == []
 
 
 def test_caps():
@@ -209,3 +245,11 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == cols
     text = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).astype(str).values.tolist()))
     assert text(got) == text(want)
+
+
+def test_a_beaten_reason_is_used(spark):
+    files_ = spark.createDataFrame([("a/b.py",), ("a/c/d.py",), ("x.py",)], "file string")
+    keys = [("a/", "dir", 0), ("a/b.py", "exact", 1), ("*.py", "glob", 2), ("b/", "none", 3), ("a/c", "no slash", 4), ("a/c/", "deeper", 5)]
+    r = spark.createDataFrame(keys, "key string, why string, pos int")
+    assert {x.file: x.key for x in journal.reason_for(files_, r).collect()} == {"a/b.py": "a/b.py", "a/c/d.py": "a/c/", "x.py": "*.py"}
+    assert {x.key for x in journal.unused_reasons(files_, r).collect()} == {"b/", "a/c"}
