@@ -35,6 +35,11 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def forget_words() -> None:
+    """Empty the memory of word hashes at a task's end: its worker may go on with other work."""
+    _words.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; wraps on purpose."""
     x = x + M1

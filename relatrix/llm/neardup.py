@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import discard, prepare, stored
 from .components import connected_components
-from .dartminhash import bands, elements, shingles, signatures, weighted
+from .dartminhash import bands, elements, forget_words, shingles, signatures, weighted
+from .memory import give_back
 from .token_counts import byte_batches
 
 BATCH_BYTES = 2 << 20
@@ -39,6 +40,8 @@ def sketch(docs: DataFrame, text_col: str, id_col: str, size: int, coordinates:
                     keys[some] = bands(signatures(items[at], None if w is None else w[at], owner[at], n, coordinates)[some], rows)
             got = pa.array([k if t else [] for k, t in zip(keys, total)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(total), got], ["k", "tk", "m", "bands"])
+        forget_words()
+        give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(text.alias("t"), F.col(id_col).alias("k"), F.md5(text).alias("tk"))
@@ -54,6 +57,8 @@ def element_sets(texts: DataFrame, size: int, weights: str) -> DataFrame:
             items, owner = elements(*shingles(b.column(0).to_pylist(), size), weights)
             ends = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(items.view(np.int64)))], ["node", "items"])
+        forget_words()
+        give_back()
 
     return texts.select("t", "node").mapInArrow(run, "node long, items array<long>")
 
@@ -76,6 +81,7 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[2:])
             s = [similarity(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]]) for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["a", "b", "s"])
+        give_back()
 
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from .memory import give_back
+from .token_counts import byte_batches
 from .wordtokens import tokenizer_path, worker_tokens
 
 END = (1).to_bytes(4, "little")
+BATCH_BYTES = 4 << 20
 
 
 def place(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[list[tuple[int, int, int]]], int]:
@@ -164,7 +167,7 @@ def pack(
             kinds = [key_type, *[pa.int64()] * 7, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-        for b in batches:
+        for b in byte_batches(batches, BATCH_BYTES):
             key_type = b.schema.field(1).type
             for text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = (tokens.ids(text) if text else b"") + END
@@ -175,6 +178,7 @@ def pack(
                     yield flush()
         if pool:
             yield flush()
+        give_back()
 
     src = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("k"))
     kind = src.schema["k"].dataType.simpleString()

@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 
 DEFAULT_FILE = "word_bpe_49k.json"
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 _LONG = 64
 #: Words of Latin-1 letters, then stops at most: one or two pieces for the pre-tokenizer, whatever stands around them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
