@@ -23,10 +23,11 @@ def physical_lines(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(n + F.when(text.endswith("\n"), 0).otherwise(1)).cast("long")
 
 
-def line_of(text: Column, needles: list[Column]) -> Column:
-    """Line of the earliest needle in the text, 1 if there is none."""
-    at = [F.nullif(F.locate_col(text, n) if hasattr(F, "locate_col") else F.instr(text, n), F.lit(0)) for n in needles]
-    first = F.least(*at) if len(at) > 1 else at[0]
+def line_of(text: Column, needles: list[Column] | Column) -> Column:
+    """Line of the earliest needle (a list of columns, or an array column) in the text, 1 if there is none."""
+    needles = needles if isinstance(needles, Column) else F.array(*needles)
+    at = F.transform(F.filter(needles, lambda n: n != ""), lambda n: F.instr(text, n))
+    first = F.array_min(F.filter(at, lambda i: i > 0))
     return F.when(first.isNull(), F.lit(1)).otherwise(F.size(F.split(F.substring(text, F.lit(1), first - 1), "\n"))).cast("long")
 
 

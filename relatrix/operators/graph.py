@@ -294,3 +294,30 @@ def break_hints(edges: DataFrame, components: DataFrame) -> DataFrame:
     """The weakest edge inside each cyclic component; ties by (src, dst)."""
     d = with_confidence(in_cycle(edges, components))
     return d.groupBy("component").agg(F.min(F.struct("confidence", "src", "dst")).alias("m")).select("component", "m.src", "m.dst", "m.confidence")
+
+
+def notes(edges: DataFrame, leftovers: DataFrame) -> DataFrame:
+    """(file, raw, line, reason, confidence): leftovers (src, raw, reason) and every edge that is not plainly static."""
+    left = leftovers.select(F.col("src").alias("file"), "raw", F.lit(None).cast("long").alias("line"), "reason", F.lit(None).cast("double").alias("confidence"))
+    flagged = with_confidence(edges).filter("reason <> 'resolved_static'")
+    return left.unionByName(flagged.select(F.col("src").alias("file"), F.col("dst").alias("raw"), F.col("line").cast("long").alias("line"), "reason", "confidence"))
+
+
+def actionable(edges: DataFrame, below: float = LOW_DIAGNOSTIC) -> DataFrame:
+    """(file, path, confidence, reason) of edges below the bound that a reader can do something about."""
+    d = with_confidence(edges).filter((F.col("confidence") < below) & (F.col("reason") != "dynamic_literal"))
+    return d.select(F.col("src").alias("file"), F.col("dst").alias("path"), "confidence", "reason")
+
+
+def cycle_members(cycles: DataFrame) -> DataFrame:
+    """(file, n): in how many cycles (files) a file is, most first: an order where no edge list is at hand."""
+    return cycles.select(F.explode("files").alias("file")).groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file")
+
+
+def changed_names(old: Column, new: Column) -> Column:
+    """The names (first words) whose entries differ between two sorted lists of entries; `*` alone where it is one."""
+    name = lambda x: F.split_part(x, F.lit(" "), F.lit(1))
+    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    moved = F.filter(F.array_distinct(F.concat(old, new)), lambda x: count(old, x) != count(new, x))
+    names = F.array_sort(F.array_distinct(F.transform(moved, name)))
+    return F.when(F.array_contains(names, "*"), F.array(F.lit("*"))).otherwise(names)

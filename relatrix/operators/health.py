@@ -145,17 +145,37 @@ def wiki_verdict(rows: DataFrame) -> DataFrame:
 
 
 def mark_green(health: DataFrame, verdicts: DataFrame, force: bool = False, reason: str = "") -> DataFrame:
-    """The next health table: files whose verdict has no issue (or all, with a reason, by force) become Green."""
-    if force and not reason:
+    """The next health table: files whose verdict has no issue (or all, with a reason, by force) become Green.
+
+    The row keeps the surface it was judged by: source_hash, public_symbols and wiki_hash, the baseline of the next
+    verdict. verification: no_wiki, unchecked (no extractor for the language), forced (there were issues) or verified.
+    """
+    if force and not reason.strip():
         raise ValueError("force needs a reason")
-    v = verdicts.select("file", F.size("issues").alias("n_issues"), (F.coalesce("wiki", F.lit("")) == "").alias("bare"), F.col("source_hash").alias("new_hash"))
+    v = verdicts.select(
+        "file", F.size("issues").alias("n_issues"), (F.coalesce("wiki", F.lit("")) == "").alias("bare"), F.col("source_hash").alias("new_hash"),
+        F.col("symbols").alias("new_symbols"), F.col("wiki_hash").alias("new_wiki"),
+    )
     d = health.join(v, "file", "left")
-    go = F.col("n_issues").isNotNull() & (F.lit(force) | (F.col("n_issues") == 0))
-    how = F.when(F.col("bare"), "no_wiki").when(F.lit(force), "forced").otherwise("verified")
-    new = {"status": F.lit("Green"), "reason": F.lit(reason or "marked green"), "verification": how, "source_hash": F.col("new_hash")}
+    go = F.col("n_issues").isNotNull() & (F.lit(force) | F.col("bare") | (F.col("n_issues") == 0))
+    how = F.when(F.col("bare"), "no_wiki").when(F.col("new_symbols").isNull(), "unchecked").when(F.col("n_issues") > 0, "forced").otherwise("verified")
+    why = F.lit(reason) if reason else F.when(F.col("bare"), "no wiki").otherwise("mark-green")
+    new = {
+        "status": F.lit("Green"), "reason": why, "verification": how, "source_hash": F.col("new_hash"),
+        "public_symbols": F.coalesce("new_symbols", F.array().cast("array<string>")), "wiki_hash": F.when(~F.col("bare"), F.col("new_wiki")).otherwise(""),
+    }
     return d.select(*[F.when(go, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in health.columns])
 
 
+def seed_source_hashes(health: DataFrame, live: DataFrame, force: bool = False, prefix: str = "") -> DataFrame:
+    """(file, outcome, hash): what seeding does with each row under `prefix`. Green rows without a sha256 hash (all of
+    them by force) get the live one; the others are skipped as not_green, has_hash or missing."""
+    d = health.filter(under_prefix(F.col("file"), prefix)).join(live.select(F.col("rel").alias("file"), F.col("hash").alias("live")), "file", "left")
+    has = F.coalesce(F.col("source_hash").startswith("sha256:"), F.lit(False)) & ~F.lit(force)
+    outcome = F.when(~is_green(F.col("status")), "not_green").when(has, "has_hash").when(F.col("live").isNull(), "missing").otherwise("seeded")
+    return d.select("file", outcome.alias("outcome"), F.when(outcome == "seeded", F.col("live")).alias("hash"))
+
+
 def heal_stubs(health: DataFrame, wikis: DataFrame, least: int = 350) -> DataFrame:
     """Stubs whose trimmed wiki has at least `least` characters become Green and verified."""
     w = wikis.select("file", F.length(F.trim("text")).alias("n_wiki"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
@@ -105,3 +106,47 @@ def reason_for(files: DataFrame, reasons: DataFrame) -> DataFrame:
 def unused_reasons(files: DataFrame, reasons: DataFrame) -> DataFrame:
     """The reasons whose key names no file; a key that another one beats is used all the same."""
     return reasons.join(_matches(files, reasons).select("key").distinct(), "key", "left_anti")
+
+
+#: Documents that are no sources of their own.
+ARTIFACTS = ("file_health.md", "file_health.json", "pending_updates.md", "library.md")
+
+
+def artifact(path: Column, staging: str = ".relatrix") -> Column:
+    """Whether a path is a state document: a wiki, a file of the staging folder, a journal day or one of the fixed names."""
+    return path.endswith(".wiki.md") | path.startswith(f"{staging}/") | path.startswith("journal/") | path.isin(*ARTIFACTS)
+
+
+def reason_lines(text: str) -> list[tuple[str, str]]:
+    """(key, why) of a JSON object of strings, or of lines `key=why`; empty lines and `#` comments are dropped."""
+    if text.strip().startswith("{"):
+        try:
+            table = json.loads(text)
+            return [(k, v) for k, v in table.items() if isinstance(v, str)]
+        except ValueError:
+            pass
+    lines = [x.strip() for x in text.splitlines()]
+    return [tuple(x.split("=", 1)) for x in lines if x and not x.startswith("#") and "=" in x]
+
+
+def plan_changes(changes: DataFrame, reasons: DataFrame, default: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """(file, deleted) -> (file, deleted, why): the changes to record, why null where no reason fits.
+
+    State documents are left out, and with `only` (keys, directories with a final slash, or globs) what none names.
+    """
+    d = changes.filter(~artifact(F.col("file"))).select("file", "deleted").distinct()
+    if only:
+        keys = changes.sparkSession.createDataFrame([(k, "", i) for i, k in enumerate(only)], "key string, why string, pos int")
+        d = d.join(_matches(d, keys).select("file").distinct(), "file", "left_semi")
+    d = d.join(reason_for(d, reasons).select("file", "why"), "file", "left")
+    return d if default is None else d.withColumn("why", F.coalesce("why", F.lit(default)))
+
+
+def new_entries(journal: DataFrame, entries: DataFrame, window_s: int = 120) -> DataFrame:
+    """The entries (stamp, action, file, reason) that are not yet in the journal: one of the same action, file, reason and
+    day that is at most `window_s` older, or newer, makes an entry a duplicate; so does an equal one of the batch."""
+    old = journal.select("action", "file", "reason", F.col("stamp").alias("old"), F.to_date("stamp").alias("day"))
+    d = entries.dropDuplicates(["action", "file", "reason"]).withColumn("day", F.to_date("stamp"))
+    near = F.timestamp_diff("SECOND", F.col("old"), F.col("stamp")) <= window_s
+    hit = d.join(old, ["action", "file", "reason", "day"]).filter(near).select("action", "file", "reason", "day").distinct()
+    return d.join(hit, ["action", "file", "reason", "day"], "left_anti").select("stamp", "action", "file", "reason")

@@ -40,6 +40,27 @@ def consistency(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     return lost.unionByName(r.join(f, ["src", "dst"], "left_anti").select("src", "dst", F.lit("missing_forward").alias("problem")))
 
 
+def index_consistency(forward: DataFrame, index: DataFrame) -> DataFrame:
+    """(file, problem): index rows (rel, dsts) whose targets are not those of the forward edges, and sources of edges
+    that the index does not have."""
+    own = forward.groupBy(F.col("src").alias("rel")).agg(F.array_sort(F.collect_set("dst")).alias("got"))
+    d = index.select("rel", F.array_sort(F.array_distinct("dsts")).alias("want"), F.lit(True).alias("known")).join(own, "rel", "full_outer")
+    none = F.slice(F.coalesce("want", "got"), 1, 0)
+    problem = F.when(F.col("known").isNull(), "not_in_index").when(F.coalesce("want", none) != F.coalesce("got", none), "index_disagrees")
+    return d.select(F.col("rel").alias("file"), problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def unchanged(base: DataFrame, tree: DataFrame) -> DataFrame:
+    """(rel) of the files that a branch has with the base's content: what is known of them holds for the branch too."""
+    return base.select("rel", "hash").join(tree.select("rel", "hash"), ["rel", "hash"], "left_semi").select("rel")
+
+
+def adopt_unchanged(tree_rows: DataFrame, base_rows: DataFrame, same: DataFrame, key: str = "file") -> DataFrame:
+    """The branch's rows, with the base's row where the branch has none and the file is unchanged."""
+    known = base_rows.join(same.select(F.col("rel").alias(key)), key, "left_semi").join(tree_rows.select(key), key, "left_anti")
+    return tree_rows.unionByName(known.select(*tree_rows.columns))
+
+
 def validate(files: DataFrame, health: DataFrame, live: DataFrame) -> DataFrame:
     """(file, problem): mapped files without a health row, and files whose live hash is not the indexed one."""
     missing = files.select(F.col("rel").alias("file")).join(health.select("file"), "file", "left_anti").select("file", F.lit("missing").alias("problem"))

@@ -40,9 +40,7 @@ def first_hit(refs: DataFrame, candidates: Column, files: DataFrame) -> DataFram
 
 def js_forms(path: Column) -> Column:
     """The path itself, with each suffix, and as a folder's index."""
-    stem = F.regexp_replace(path, r"\.(js|jsx|mjs|cjs)$", "")
-    swapped = [F.concat(stem, F.lit(s)) for s in (".ts", ".tsx", ".mts", ".cts")]
-    return F.array(path, *[F.concat(path, F.lit(s)) for s in JS_SUFFIXES], *[F.concat(path, F.lit("/index" + s)) for s in JS_SUFFIXES], *swapped)
+    return F.array(path, *[F.concat(path, F.lit(s)) for s in JS_SUFFIXES], *[F.concat(path, F.lit("/index" + s)) for s in JS_SUFFIXES])
 
 
 def resolve_js(refs: DataFrame, files: DataFrame, aliases: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
@@ -232,9 +230,10 @@ def build_edges(files: DataFrame, imports: DataFrame, aliases: DataFrame | None
         moved = follow_barrels(named, flat, exports).filter("via_barrel").select("src", "seq", F.col("dst").alias("to"), F.array("name").alias("via_names")).distinct()
         extra = d.join(moved, ["src", "seq"]).filter("to <> src").select(*[F.col("to").alias("dst") if c == "dst" else F.lit(True).alias(c) if c == "via_barrel" else F.col("via_names").alias(c) if c == "names" else F.col(c) for c in d.columns])
         d = d.unionByName(extra)
-    needle = F.when(F.size("names") > 0, F.element_at("names", 1)).otherwise(F.regexp_replace("spec", "^mod:", ""))
+    spec = F.regexp_replace("spec", "^mod:", "")
+    needles = F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(spec, F.element_at(F.split(spec, "::"), -1)))
     text = files.select(F.col("rel").alias("src"), "text")
-    d = d.join(text, "src").withColumn("line", line_of(F.col("text"), [needle, F.col("spec")])).drop("text").withColumn("dynamic", F.col("kind") == "Dynamic")
+    d = d.join(text, "src").withColumn("line", line_of(F.col("text"), needles)).drop("text").withColumn("dynamic", F.col("kind") == "Dynamic")
     edges = merge_edges(d.select("src", "dst", "seq", "line", "names", "conditional", "dynamic", "via_barrel"))
     left = r.join(hits, ["src", "seq"], "left_anti").filter("language <> 'rust'")
     reason = F.when(F.col("kind") == "Dynamic", "dynamic_literal").when(F.col("spec").startswith("."), "unresolved_relative").otherwise("external_or_bare")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -70,6 +70,12 @@ def in_scope(rel: Column, scope: Scope) -> Column:
     return inside & is_source(rel) & ~excluded(rel, scope.excludes)
 
 
+def relative(path: Column, root: str) -> Column:
+    """The part of a file source's path that is below `root`."""
+    bare = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^[a-z]+:/*" + re.escape(bare.lstrip("/")) + "/", "")
+
+
 def source_files(spark: SparkSession, root: str, scope: Scope | None = None, contents: bool = True) -> DataFrame:
     """Files under `root`: rel, size, mtime_us, and with `contents` text, hash, n_lines, dirty.
 
@@ -77,9 +83,7 @@ def source_files(spark: SparkSession, root: str, scope: Scope | None = None, con
     """
     scope = scope or Scope()
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bare = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z]+:/*" + re.escape(bare.lstrip("/")) + "/", "")
-    d = d.withColumn("rel", rel).filter(in_scope(F.col("rel"), scope))
+    d = d.withColumn("rel", relative(F.col("path"), root)).filter(in_scope(F.col("rel"), scope))
     stat = d.select("rel", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), *(["content"] if contents else []))
     if not contents:
         return stat
@@ -88,5 +92,13 @@ def source_files(spark: SparkSession, root: str, scope: Scope | None = None, con
     return d.select("rel", "size", "mtime_us", "text", content_hash(F.col("text")).alias("hash"), physical_lines(F.col("text")).alias("n_lines"), "dirty")
 
 
-def matches(name: str, pattern: str) -> bool:
-    return fnmatch.fnmatchcase(name, pattern.replace("[", "[[]"))
+def rel_arg(root: str, file: str) -> str:
+    """A file argument as a path relative to the root: absolute paths below it, backslashes and leading `./` are read."""
+    if os.path.isabs(file):
+        for r, f in ((root, file), (os.path.realpath(root), os.path.realpath(file))):
+            if f.startswith(r.rstrip("/") + "/"):
+                return f[len(r.rstrip("/")) + 1 :]
+    file = file.replace("\\", "/")
+    while file.startswith("./"):
+        file = file[2:]
+    return file

@@ -22,6 +22,12 @@ class Store:
             return 0
         return self.spark.read.parquet(f"{self.path}/commits").agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
 
+    def version_with(self, name: str) -> int:
+        """The last version, if it has a table of that name; else 0."""
+        v = self.version()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}/{name}")
+        return v if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else 0
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={version or self.version()}/{name}")
 

@@ -2,9 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
 from relatrix.api import Project
-from relatrix.operators import journal
-from relatrix.sources import projects
+from relatrix.operators import caps, graph, journal, overlay, pending
+from relatrix.sources import projects, scope
 
 
 def test_project(spark, tmp_path):
@@ -36,6 +37,100 @@ def test_project(spark, tmp_path):
         q.mark_green(["b.py"], force=True)
 
 
+def test_green_rows_are_the_next_baseline(spark, tmp_path):
+    """A symbol that a wiki still names after it is gone, an unchanged wiki of a changed surface, and force."""
+    root = tmp_path / "proj"
+    (root / "proj").mkdir(parents=True)
+    (root / "a.py").write_text("def one(): pass\ndef two(): pass\n")
+    (root / "b.py").write_text("import a\n")
+    (root / "m.go").write_text("package m\n")
+    (root / "a.py.wiki.md").write_text("`one` and `two`")
+    (root / "m.go.wiki.md").write_text("about m")
+    (root / "proj" / "b.py.wiki.md").write_text("not the wiki of b.py")
+    p = Project(spark, str(root), str(tmp_path / "store"))
+    p.update_maps()
+    assert {(r.file, r.warning) for r in p.mark_green(["./a.py", str(root / "b.py"), "m.go"]).collect()} == {("a.py", "no_symbol_baseline"), ("b.py", None), ("m.go", None)}
+    rows = {r.file: r for r in p.health.collect()}
+    assert {f: r.verification for f, r in rows.items()} == {"a.py": "verified", "b.py": "no_wiki", "m.go": "unchecked"}
+    assert sorted(rows["a.py"].public_symbols) == ["one", "two"] and rows["a.py"].wiki_hash.startswith("sha256:")
+    (root / "a.py").write_text("def one(): pass\n")
+    v = p.mark_green(["a.py"]).first()
+    assert sorted(v.issues) == ["wiki_mentions_removed_symbols: two", "wiki_not_updated_for_api_change"] and v.warning is None
+    assert p.baselines.filter("file = 'a.py'").first().text.count("def") == 2
+    p.mark_green(["a.py"], force=True, reason="rename only")
+    assert p.health.filter("file = 'a.py'").first().verification == "forced"
+    p.save()
+    assert Project(spark, str(root), str(tmp_path / "store")).health.filter("verification = 'forced'").count() == 1
+    with pytest.raises(FileNotFoundError):
+        p.get_dependents("nowhere.py")
+    with pytest.raises(ValueError):
+        p.prepare_edit("")
+
+
+def test_recording_a_batch(spark, tmp_path):
+    root = tmp_path / "proj"
+    (root / "src").mkdir(parents=True)
+    for name, text in {"src/a.py": "from src import b\n", "src/b.py": "x = 1\n", "c.py": "from src import a\n"}.items():
+        (root / name).write_text(text)
+    p = Project(spark, str(root), str(tmp_path / "store"))
+    p.update_maps()
+    assert p.edges().count() == 2
+    batch = spark.createDataFrame([("src/a.py", False), ("src/b.py", True), ("c.py", False), ("c.py.wiki.md", False), ("journal/x.md", False)], "file string, deleted boolean")
+    got = p.record_changes(batch, [("src/", "moved"), ("docs/", "none")])
+    assert {r.file for r in got["missing_reasons"].collect()} == {"c.py"} and got["recorded"].count() == 0 and p.journal.count() == 0
+    assert {r.key for r in got["unused_reasons"].collect()} == {"docs/"}
+    (root / "src" / "b.py").unlink()
+    args = (batch, [("src/", "moved"), ("src/b.py", "dropped")], "cleanup")
+    assert p.record_changes(*args, dry_run=True)["recorded"].count() == 3 and p.journal.count() == 0
+    p.record_changes(*args)
+    assert {(r.file, r.action, r.reason) for r in p.journal.collect()} == {("src/a.py", "record-change", "moved"), ("src/b.py", "record-deletion", "dropped"), ("c.py", "record-change", "cleanup")}
+    assert {(r.src, r.dst) for r in p.edges().collect()} == {("c.py", "src/a.py")} and p.index().count() == 2
+    assert {r.file for r in p.pending.collect()} == {"src/a.py", "c.py"}
+    stamps = [r.stamp for r in p.journal.collect()]
+    p.record_changes(*args)  # within two minutes: duplicates
+    assert [r.stamp for r in p.journal.collect()] == stamps
+    p.mark_green(["c.py"])
+    assert [r.value for r in pending.document(p.pending).collect()] == ["# Pending Updates", "", "- src/a.py: moved — refresh the wiki, then mark-green"]
+    only = p.record_changes(batch, default_reason="again", only=["c.py"], green=True)
+    assert {r.file for r in only["recorded"].collect()} == {"c.py"} and only["verification_failed"].count() == 0
+    assert {(r.outcome, r.n) for r in p.seed_source_hashes().collect()} == {("has_hash", 1), ("not_green", 2)}
+
+
+def test_pending_lines(spark):
+    lines = ["# Pending Updates", "", "- a.py: first: yes", "- b c.py — old form", "- d.py - older", "- a.py: second", pending.EMPTY_NOTE, "-  : x"]
+    d = pending.parse(spark.createDataFrame(list(enumerate(lines)), "pos long, value string"))
+    assert {(r.file, r.message) for r in d.collect()} >= {("a.py", "first: yes"), ("b c.py", "old form"), ("d.py", "older")}
+    assert pending.document(d.limit(0)).collect()[-1].value == pending.EMPTY_NOTE
+
+
+def test_reason_lines():
+    assert journal.reason_lines('{"a/": "x", "n": 1}') == [("a/", "x")]
+    assert journal.reason_lines("# c\na.py=b=c\n\n junk \n") == [("a.py", "b=c")]
+
+
+def test_paths_of_arguments(tmp_path):
+    assert scope.rel_arg("/r/proj", "/r/proj/proj/a.py") == "proj/a.py" and scope.rel_arg("/r", "././a\\b.py") == "a/b.py"
+    (tmp_path / "link").symlink_to(tmp_path)
+    assert scope.rel_arg(str(tmp_path), str(tmp_path / "link" / "x.py")) in ("link/x.py", "x.py")
+
+
+def test_diagnostics_and_diffs(spark):
+    e = spark.createDataFrame([("a", "b", 3, False, False, False), ("a", "c", 4, True, False, False), ("b", "c", 5, False, True, False)], "src string, dst string, line long, conditional boolean, dynamic boolean, via_barrel boolean")
+    left = spark.createDataFrame([("a", "os", "external_or_bare")], "src string, raw string, reason string")
+    assert {(r.file, r.raw, r.line, r.reason, r.confidence) for r in graph.notes(e, left).collect()} == {("a", "os", None, "external_or_bare", None), ("a", "c", 4, "conditional_guard", 0.55), ("b", "c", 5, "dynamic_literal", 0.4)}
+    assert [(r.file, r.path) for r in graph.actionable(e).collect()] == [("a", "c")]
+    cycles = spark.createDataFrame([(["a", "b"],), (["b", "c", "d"],)], "files array<string>")
+    assert [(r.file, r.n) for r in graph.cycle_members(cycles).collect()][0] == ("b", 2)
+    assert [(r.files, r.files_truncated) for r in caps.trim_files(cycles, 2).collect()] == [(["a", "b"], False), (["b", "c"], True)]
+    kept, total = caps.compact(cycles.orderBy(F.size("files")), "get_cycles", 1)
+    assert kept.count() == 1 and total == 2 and caps.compact(cycles, "get_cycles", 0)[1] is None
+    d = spark.createDataFrame([(["f 1", "f 2", "g 1"], ["f 1", "g 2", "h 1"]), (["* x"], []), (["a 1"], ["a 1"])], "old array<string>, new array<string>")
+    assert [r[0] for r in d.select(graph.changed_names(F.col("old"), F.col("new"))).collect()] == [["f", "g", "h"], ["*"], []]
+    index = spark.createDataFrame([("a", ["c", "b"]), ("b", []), ("x", [])], "rel string, dsts array<string>")
+    assert {(r.file, r.problem) for r in overlay.index_consistency(e, index).collect()} == {("b", "index_disagrees")}
+    assert {r.problem for r in overlay.index_consistency(e, index.filter("rel <> 'a'")).collect()} == {"index_disagrees", "not_in_index"}
+
+
 def test_configuration():
     ts = {"web/tsconfig.json": '{ // c\n "compilerOptions": {"baseUrl": "src", "paths": {"~/*": ["./*", "x/*"], "u": ["http://x"],}} }'}
     assert projects.ts_aliases(ts)[0] == ("~/*", "web/src/*")
