@@ -14,8 +14,9 @@ from ..session import prepare
 
 
 def parse(texts: DataFrame) -> DataFrame:
-    """(text) of whole journal files -> stamp, action, file, reason. A block is `## STAMP - ACTION`, `File:`, `Reason:`."""
-    block = r"(?m)^#+ \[?(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\]? [-—|] (.+)\n+(?:\* |- )?\**File:?\**:? *(.*)\n+(?:\* |- )?\**Reason:?\**:? *(.*)$"
+    """(text) of whole journal files -> stamp, action, file, reason. A block is `## [STAMP] ACTION` or
+    `## STAMP - ACTION`, then `File:` and `Reason:`, each in bold or not."""
+    block = r"(?m)^#+ \[?(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\]? (?:[-—|] )?(.+)\n+(?:\* |- )?\**File:?\**:? *(.*)\n+(?:\* |- )?\**Reason:?\**:? *(.*)$"
     parts = [F.regexp_extract_all("text", F.lit(block), i) for i in (1, 2, 3, 4)]
     d = texts.select(F.explode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abcd")])).alias("e"))
     strip = lambda c: F.regexp_replace(F.trim(c), "^`|`$", "")

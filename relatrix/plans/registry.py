@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from .catalogue import ORACLES, QUERIES
+from . import catalogue, literals
+
+QUERIES = {**catalogue.QUERIES, **literals.QUERIES}
+ORACLES = {**catalogue.ORACLES, **literals.ORACLES}
 
 __all__ = ["ORACLES", "QUERIES"]

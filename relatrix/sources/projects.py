@@ -26,6 +26,7 @@ def ts_aliases(configs: dict[str, str]) -> list[tuple[str, str]]:
         options = json.loads(strip_json_comments(text)).get("compilerOptions", {})
         base = posixpath.normpath(posixpath.join(posixpath.dirname(path), options.get("baseUrl", ".")))
         for pattern, targets in options.get("paths", {}).items():
+            targets = [targets] if isinstance(targets, str) else targets
             if targets:
                 out.append((pattern, posixpath.normpath(posixpath.join(base, targets[0])).removeprefix("./")))
     return out

@@ -54,12 +54,16 @@ def is_source(rel: Column) -> Column:
     return F.lower(rel).rlike(rf"\.({ends})$")
 
 
+def _like(regex: str):
+    return lambda p: p.rlike(regex)
+
+
 def excluded(rel: Column, excludes: tuple[str, ...]) -> Column:
     """Any segment is an excluded name or matches an excluded glob (`*`, `?`; brackets have no class meaning)."""
     exact = [e for e in excludes if not re.search(r"[*?\[]", e)]
     out = F.exists(F.split(rel, "/"), lambda p: p.isin(*exact)) if exact else F.lit(False)
-    for g in (e for e in excludes if re.search(r"[*?\[]", e)):
-        out = out | F.exists(F.split(rel, "/"), lambda p, g=g: p.rlike(glob_regex(g)))
+    for g in (glob_regex(e) for e in excludes if re.search(r"[*?\[]", e)):
+        out = out | (F.size(F.filter(F.split(rel, "/"), _like(g))) > 0)
     return out
 
 
