@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_of, normalize_path
 from ..scan.imports import language_column
-from ..session import cut
+from ..session import stored
 from .graph import merge_edges
+from .rust import rust_edges, targets
 
 #: Suffixes tried after a bare JavaScript path, in order.
 JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".d.ts")
@@ -134,48 +135,9 @@ def resolve_dotted(refs: DataFrame, files: DataFrame, suffix: str) -> DataFrame:
 
 
 def resolve_rust(refs: DataFrame, files: DataFrame, crates: DataFrame | None = None) -> DataFrame:
-    """Module paths: crate, self, super, inline modules, a sibling module, or another crate (name, dir).
-
-    The file of the longest leading part of the path wins, as name.rs before name/mod.rs; a path that names only items
-    of the crate root is the root. `mod:` specs are looked up below the declaring module.
-    """
+    """The file that each module path reaches; see rust.targets() and, for re-exports, rust.rust_edges()."""
     rs = files.filter(F.col("rel").endswith(".rs")).select("rel").distinct()
-    roots = rs.filter(basename(F.col("rel")).isin("lib.rs", "main.rs")).groupBy(dirname(F.col("rel")).alias("root")).agg(F.min("rel").alias("root_file"))
-    ups = F.split(dirname(F.col("src")), "/")
-    lines = refs.select("src").distinct().select("src", F.explode(F.transform(F.sequence(F.lit(0), F.size(ups)), lambda i: F.array_join(F.slice(ups, 1, i), "/"))).alias("root"))
-    mine = lines.join(roots, "root").groupBy("src").agg(F.max_by(F.struct("root", "root_file"), F.length("root")).alias("m")).select("src", "m.root", "m.root_file")
-    d = refs.join(mine, "src", "left").withColumn("is_mod", F.col("spec").startswith("mod:"))
-    d = d.withColumn("path", F.split(F.regexp_replace(F.regexp_replace("spec", "^mod:", ""), r"::\*$", ""), "::"))
-    stem = F.regexp_replace(basename(F.col("src")), r"\.rs$", "")
-    own = F.when(stem.isin("lib", "main", "mod"), dirname(F.col("src"))).otherwise(F.concat_ws("/", F.nullif(dirname(F.col("src")), F.lit("")), stem))
-    d = d.withColumn("own", own).withColumn("head", F.get("path", F.lit(0)))
-    supers = F.size(F.filter("path", lambda p: p == "super"))
-    climb = F.greatest(supers - F.col("inline_depth"), F.lit(0))
-    parts = F.split("own", "/")
-    above = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - climb, F.lit(0))), "/")
-    base = F.when(F.col("is_mod"), F.col("own")).when(F.col("head") == "crate", F.col("root")).when(F.col("head").isin("self", "super"), above).otherwise(F.col("own"))
-    rest = F.filter("path", lambda p: ~p.isin("crate", "self", "super"))
-    d = d.withColumn("base", base).withColumn("rest", rest)
-    if crates is not None:
-        c = crates.select(F.replace("name", F.lit("-"), F.lit("_")).alias("head"), F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit("src")).alias("other"))
-        d = d.join(c, "head", "left")
-    else:
-        d = d.withColumn("other", F.lit(None).cast("string"))
-
-    def walk(at: Column, names: Column) -> Column:
-        prefixes = F.transform(F.when(F.size(names) > 0, F.reverse(F.sequence(F.lit(1), F.size(names)))).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws("/", F.nullif(at, F.lit("")), F.array_join(F.slice(names, 1, i), "/")))
-        return F.flatten(F.transform(prefixes, lambda p: F.array(F.concat(p, F.lit(".rs")), F.concat(p, F.lit("/mod.rs")))))
-
-    def root_of(at: Column) -> Column:
-        return F.array(F.concat_ws("/", F.nullif(at, F.lit("")), F.lit("lib.rs")), F.concat_ws("/", F.nullif(at, F.lit("")), F.lit("main.rs")))
-
-    none = F.array().cast("array<string>")
-    module_file = F.array(F.concat("base", F.lit(".rs")), F.concat("base", F.lit("/mod.rs")))
-    fallback = F.when(F.col("head") == "crate", root_of(F.col("base"))).when(F.col("head").isin("super"), F.concat(module_file, F.when(F.col("base") == F.col("root"), root_of(F.col("base"))).otherwise(none))).otherwise(none)
-    inside = F.when(F.col("base").isNotNull(), F.concat(walk(F.col("base"), F.col("rest")), F.when(F.col("is_mod"), none).otherwise(fallback))).otherwise(none)
-    foreign = F.when(F.col("other").isNotNull() & ~F.col("is_mod"), F.concat(walk(F.col("other"), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))), root_of(F.col("other")))).otherwise(none)
-    at_root = F.when(~F.col("is_mod") & F.col("root").isNotNull() & (F.col("kind") != "PathExpr"), walk(F.col("root"), F.col("rest"))).otherwise(none)
-    return first_hit(d.withColumn("forms", F.concat(inside, foreign, at_root)), F.col("forms"), rs)
+    return targets(refs, rs, crates).filter("dst <> src").select("src", "seq", "dst")
 
 
 def follow_barrels(edges: DataFrame, reexports: DataFrame, exports: DataFrame, depth: int = 8) -> DataFrame:
@@ -189,7 +151,7 @@ def follow_barrels(edges: DataFrame, reexports: DataFrame, exports: DataFrame, d
     wide = edges.select("src", "seq", "name", F.col("dst").alias("start"), F.col("dst").alias("at"), F.lit("").alias("rank"))
     done = None
     for step in range(depth + 1):
-        d = cut(wide.join(local, ["at", "name"], "left"))
+        d = stored(wide.join(local, ["at", "name"], "left"))
         if step and not d.limit(1).count():
             break
         stop = d.filter("own").drop("own")
@@ -217,12 +179,13 @@ def build_edges(files: DataFrame, imports: DataFrame, aliases: DataFrame | None
     of = lambda lang: r.filter(F.col("language") == lang)
     hits = resolve_python(of("python"), files)
     for d in (
-        resolve_js(of("javascript"), files, aliases, packages), resolve_rust(of("rust"), files, crates), resolve_go(of("go"), files), resolve_c(of("c"), files),
+        resolve_js(of("javascript"), files, aliases, packages), resolve_go(of("go"), files), resolve_c(of("c"), files),
         resolve_dotted(of("java"), files, ".java"), resolve_dotted(of("csharp"), files, ".cs"),
     ):
         hits = hits.unionByName(d)
-    hits = cut(hits)
-    d = hits.join(r, ["src", "seq"]).withColumn("via_barrel", F.lit(False))
+    rust, brought = rust_edges(of("rust"), files, crates)
+    hits = stored(hits.withColumn("via_barrel", F.lit(False)).unionByName(rust.select("src", "seq", "dst", "via_barrel")))
+    d = hits.join(r, ["src", "seq"])
     if exports is not None:
         star = d.filter("kind IN ('ExportFrom', 'ExportStar')")
         flat = star.select(F.col("src").alias("rel"), F.col("seq").alias("pos"), F.explode_outer("names").alias("name"), F.col("dst").alias("target"))
@@ -234,6 +197,9 @@ def build_edges(files: DataFrame, imports: DataFrame, aliases: DataFrame | None
     needles = F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(spec, F.element_at(F.split(spec, "::"), -1)))
     text = files.select(F.col("rel").alias("src"), "text")
     d = d.join(text, "src").withColumn("line", line_of(F.col("text"), needles)).drop("text").withColumn("dynamic", F.col("kind") == "Dynamic")
+    # Names that globs bring in come after all references of a file.
+    used = brought.join(text, "src").select("src", "dst", F.lit(1 << 30).alias("seq"), line_of(F.col("text"), [F.col("name")]).alias("line"), F.array("name").alias("names"), F.lit(False).alias("conditional"), F.lit(False).alias("dynamic"), F.lit(True).alias("via_barrel"))
+    d = d.select(*used.columns).unionByName(used)
     edges = merge_edges(d.select("src", "dst", "seq", "line", "names", "conditional", "dynamic", "via_barrel"))
     left = r.join(hits, ["src", "seq"], "left_anti").filter("language <> 'rust'")
     reason = F.when(F.col("kind") == "Dynamic", "dynamic_literal").when(F.col("spec").startswith("."), "unresolved_relative").otherwise("external_or_bare")

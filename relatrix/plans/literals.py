@@ -223,6 +223,44 @@ def _(s):
     return resolved(s, files, crates=table(s, "name string, dir string", [("my-crate", "")]))[0]
 
 
+BAKERY = {
+    "bakery/src/lib.rs": "mod oven; mod tray; pub use oven::{Bread, Crumb as Dust}; pub use tray::*; use oven::Ash;", "bakery/src/oven.rs": "pub struct Bread; pub struct Crumb; pub struct Ash;",
+    "bakery/src/tray.rs": "pub fn fill() {} fn scrub() {}", "bakery/src/cook.rs": "use crate::Ash;", "a/src/main.rs": "use bakery::Dust; use bakery::Ash;",
+    "b/src/main.rs": "use bakery::*; fn main() { fill(); scrub(); jar.Bread; }", "c/src/main.rs": "fn main() { bakery::Bread::bake(); bakery::gone::f(); }",
+}
+
+
+@expect(
+    "resolve_rust_reexports",
+    "src string, dst string, via_barrel boolean",
+    [
+        ("lib", "oven", False), ("lib", "tray", False), ("cook", "lib", False), ("cook", "oven", True), ("a", "lib", False), ("a", "oven", True), ("b", "lib", False), ("b", "tray", True),
+        ("c", "oven", True),
+    ],
+)
+def _(s):
+    e = resolved(s, BAKERY, crates=table(s, "name string, dir string", [("bakery", "bakery")]))[0]
+    short = lambda c: F.regexp_replace(F.regexp_replace(c, "/src/main.rs$", ""), "^bakery/src/(.*)\\.rs$", "$1").alias(c)
+    return e.select(short("src"), short("dst"), "via_barrel")
+
+
+@expect(
+    "rust_exports",
+    "kind string, name string, path string, public boolean",
+    [
+        ("use", "b", "a::b", True), ("use", "a", "a", True), ("use", "d", "a::c", True), ("glob", "", "a::e", True), ("def", "h", None, True), ("def", "K", None, False), ("def", "l", None, True),
+    ],
+)
+def _(s):
+    text = "pub use a::{b, self, c as d, e::*}; use f::g as _; pub(crate) const fn h() {} const _: u8 = 0; static mut K: u8 = 1; mod m { pub fn no() {} } extern crate x; pub unsafe extern \"C\" fn l() {}"
+    return tree(s, {"m.rs": text}).select(F.explode(symbols.exports_column(F.col("text"))).alias("e")).select("e.*")
+
+
+@expect("bare_names", "names string", [("a|c|f|fn",)])
+def _(s):
+    return tree(s, {"m.rs": "fn f() { a.b(c::d, 1.5e3, \"q\", 'x'); } // z"}).select(symbols.bare_column(F.col("text")).alias("names"))
+
+
 @expect("resolve_by_name", "src string, dst string", [("g/main.go", "g/util.go"), ("c/a.c", "c/b.h"), ("j/A.java", "j/B.java"), ("s/A.cs", "s/B.cs")])
 def _(s):
     files = {

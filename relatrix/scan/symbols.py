@@ -122,6 +122,68 @@ def rust_symbols(text: str) -> list[str]:
     return sorted(n for n in out if n)
 
 
+ITEM_WORDS = {"fn", "struct", "enum", "union", "trait", "type", "static"}
+
+
+def rust_exports(text: str) -> list[tuple[str, str, str | None, bool]]:
+    """(kind, name, path, public) of a file's own top level, in order: `def` of items, `use` of each name that a use
+    item binds, `glob` of its globs. Modules are found by their path and so are not listed."""
+    from .imports import use_tree
+
+    t = rust_tokens(text)
+    word = lambda i: t[i][1] if i < len(t) and t[i][0] == "word" else ""
+    out: list[tuple[str, str, str | None, bool]] = []
+    depth = i = 0
+    while i < len(t):
+        kind, w = t[i]
+        if kind == "op":
+            depth += (w in "{([") - (w in "})]")
+        elif depth == 0:
+            at, public = i, w == "pub"
+            if public:
+                at += 1
+                if at < len(t) and t[at][1] == "(":
+                    while at < len(t) and t[at][1] != ")":
+                        at += 1
+                    at += 1
+            if word(at) == "use":
+                got, i = use_tree(t, at + 1)
+                out += [("glob", "", "::".join(p), public) if n == "*" else ("use", n, "::".join(p), public) for p, n in got if p and n != "_"]
+                continue
+            while word(at) in ("async", "unsafe") or (word(at) == "extern" and word(at + 1) == "fn") or (word(at) == "const" and word(at + 1) in ("fn", "unsafe", "async", "extern")):
+                at += 1
+            if word(at) == "const" or word(at) in ITEM_WORDS:
+                at += 2 if word(at) == "static" and word(at + 1) == "mut" else 1
+                if word(at) not in ("", "_"):
+                    out.append(("def", word(at), None, public))
+                    i = at
+        i += 1
+    return out
+
+
+def bare_names(text: str) -> list[str]:
+    """Identifiers that stand on their own: not after a dot or a path separator."""
+    t = rust_tokens(text)
+    return sorted({w for i, (kind, w) in enumerate(t) if kind == "word" and not (i and t[i - 1][1] in (".", "::"))})
+
+
+def _exports(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"kind": k, "name": n, "path": p, "public": b} for k, n, p, b in rust_exports(t or "")] for t in text])
+
+
+def exports_column(text: Column) -> Column:
+    """rust_exports() as an array of structs."""
+    return F.pandas_udf(_exports, "array<struct<kind:string,name:string,path:string,public:boolean>>")(text)
+
+
+def _bare(text: pd.Series) -> pd.Series:
+    return pd.Series([bare_names(t or "") for t in text])
+
+
+def bare_column(text: Column) -> Column:
+    return F.pandas_udf(_bare, "array<string>")(text)
+
+
 EXTRACTORS = {"py": python_symbols, "pyi": python_symbols, **dict.fromkeys(("js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts"), js_symbols), "rs": rust_symbols}
 
 

@@ -149,6 +149,65 @@ def test_rust_crate(spark):
     }
 
 
+OVEN = "pub struct Bread; impl Bread { pub fn bake() {} }"
+#: case -> (files of a crate named like the case, the importer's text, what it depends on: file -> through a re-export).
+REEXPORTS = {
+    "named": ({"lib": "mod oven; pub use oven::Bread;", "oven": OVEN}, "use named::Bread;", {"lib": False, "oven": True}),
+    "alias": ({"lib": "mod oven; pub use oven::{Crumb, Bread as Loaf};", "oven": OVEN}, "use alias::Loaf;", {"lib": False, "oven": True}),
+    "nested": ({"lib": "mod a; pub use a::Bun;", "a": "mod b; pub use b::*;", "a/b": "pub enum Bun {}"}, "use nested::Bun;", {"lib": False, "a/b": True}),
+    "direct": ({"lib": "pub mod oven; pub use oven::Bread;", "oven": OVEN}, "use direct::oven::Bread;", {"oven": False}),
+    "opened": (
+        {"lib": "mod oven; mod tray; pub use oven::Bread; pub use tray::*;", "oven": OVEN, "tray": "pub struct Tray; pub fn fill() -> Tray { Tray } fn scrub() {}"},
+        "use opened::*; fn main() { let t: Tray = fill(); Bread; }", {"lib": False, "oven": True, "tray": True},
+    ),
+    "unused": ({"lib": "mod tray; pub use tray::*;", "tray": "pub fn fill() {} fn scrub() {}"}, "use unused::*; fn scrub() {} fn main() { scrub(); jar.fill; }", {"lib": False}),
+    "past": ({"lib": "mod oven; pub use oven::Bread;", "oven": OVEN}, "fn main() { past::Bread::bake(); past::gone::x(); }", {"oven": True}),
+    "shut": ({"lib": "mod oven; use oven::Bread;", "oven": OVEN}, "use shut::Bread;", {"lib": False}),
+    "made": ({"lib": "mod mold; pub use mold::Cast;", "mold": "cast!(Cast);"}, "use made::Cast;", {"lib": False, "mold": True}),
+    "moved": ({"lib": "#[path = \"x/y.rs\"] mod oven; pub use oven::Bread;", "x/y": OVEN}, "use moved::Bread;", {"lib": False}),
+    "twice": ({"lib": "mod hot; mod iced; #[cfg(a)] pub use hot::Pie; #[cfg(b)] pub use iced::Pie;", "hot": "pub struct Pie;", "iced": "pub struct Pie;"}, "use twice::Pie;", {"lib": False, "hot": True}),
+    "inline": ({"lib": "mod oven; pub mod menu { pub use crate::oven::Bread; }", "oven": OVEN}, "use inline::menu::Bread;", {}),
+    "foreign": ({"lib": "pub use std::rc::Rc;"}, "use foreign::Rc;", {"lib": False}),
+}
+
+
+def test_rust_reexports(spark):
+    files = {f"{case}/src/{k}.rs": t for case, (own, _, _) in REEXPORTS.items() for k, t in own.items()} | {f"{case}_user/src/main.rs": t for case, (_, t, _) in REEXPORTS.items()}
+    files |= {"home/src/lib.rs": "mod oven; mod cook; pub(crate) use oven::Bread; use oven::Flour;", "home/src/oven.rs": "pub(crate) struct Bread; pub struct Flour;", "home/src/cook.rs": "use crate::Bread; use crate::Flour;"}
+    crates = spark.createDataFrame([(case, case) for case in (*REEXPORTS, "home")], "name string, dir string")
+    got = {}
+    for r in edge_set(spark, files, crates=crates)[1].collect():
+        got.setdefault(r.src, {})[r.dst] = r.via_barrel
+    for case, (_, _, want) in REEXPORTS.items():
+        assert got.get(f"{case}_user/src/main.rs", {}) == {f"{case}/src/{k}.rs": v for k, v in want.items()}, case
+    assert got["home/src/cook.rs"] == {"home/src/lib.rs": False, "home/src/oven.rs": True}  # inside a crate nothing is private
+
+
+def test_rust_walks_end_after_four_steps(spark):
+    """Boxes in boxes, each passing on what the next one holds: the toy is in the fourth, the note in the sixth."""
+    boxes = ["oak", "pine", "ash", "elm", "fir", "yew"]
+    files = {"src/lib.rs": "mod oak; pub use oak::{Toy, Note};", "tests/toy.rs": "use boxes::Toy;", "tests/note.rs": "use boxes::Note;"}
+    for i, box in enumerate(boxes):
+        held = {3: "pub struct Toy;", 5: "pub struct Note;"}.get(i, "")
+        passed = [n for n, at in (("Toy", 3), ("Note", 5)) if i < at]
+        inner = f"mod {boxes[i + 1]}; " + " ".join(f"pub use {boxes[i + 1]}::{n};" for n in passed) if passed else ""
+        files[f"src/{'/'.join(boxes[: i + 1])}.rs"] = f"{inner} {held}"
+    edges = edge_set(spark, files, crates=spark.createDataFrame([("boxes", "")], "name string, dir string"))[1]
+    got = {(r.src, r.dst): r.via_barrel for r in edges.filter("src LIKE 'tests/%'").collect()}
+    assert got == {("tests/toy.rs", "src/lib.rs"): False, ("tests/toy.rs", "src/oak/pine/ash/elm.rs"): True, ("tests/note.rs", "src/lib.rs"): False}
+
+
+def test_rust_modules_that_globs_bring_in(spark):
+    files = {"src/lib.rs": "mod view; mod eye; mod hand;", "src/view.rs": "pub const WIDE: u8 = 1;", "src/eye.rs": "use super::*; fn f() { view::open(); gone::x(); }", "src/hand.rs": "use crate::eye::*; fn g() { view::shut(); }"}
+    assert {("src/eye.rs", "src/view.rs"), ("src/hand.rs", "src/view.rs")} <= edge_set(spark, files)[0]
+
+
+def test_rust_exports():
+    text = "pub use a::{b, self, c as d, e::*}; use f::g as _; pub(crate) const fn h() {} const _: u8 = 0; static mut K: u8 = 1; mod m { pub fn no() {} } extern crate x; pub unsafe extern \"C\" fn l() {}"
+    assert S.rust_exports(text) == [("use", "b", "a::b", True), ("use", "a", "a", True), ("use", "d", "a::c", True), ("glob", "", "a::e", True), ("def", "h", None, True), ("def", "K", None, False), ("def", "l", None, True)]
+    assert S.bare_names("fn f() { a.b(c::d, 1.5e3, \"q\", 'x'); } // z") == ["a", "c", "f", "fn"]
+
+
 def test_one_pair_per_language(spark):
     got, _, _ = edge_set(
         spark,
