@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import under_prefix
+from ..functions.text import physical_lines, under_prefix
 
 #: File names whose fan-in is their package's.
 ENTRY_POINTS = ("lib.rs", "main.rs", "__init__.py", "index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs", "index.cjs", "index.mts", "index.cts")
@@ -46,6 +46,13 @@ def folder_cards(files: DataFrame) -> DataFrame:
     )
 
 
+def line_counts(stat: DataFrame, cache: DataFrame, contents: DataFrame) -> DataFrame:
+    """(rel, size, mtime_us, n_lines): a cached count where size and time are the same, else the lines of (rel, text)."""
+    d = stat.select("rel", "size", "mtime_us").join(cache.select("rel", "size", "mtime_us", F.col("n_lines").alias("known")), ["rel", "size", "mtime_us"], "left")
+    fresh = d.filter("known IS NULL").join(contents.select("rel", "text"), "rel").select("rel", "size", "mtime_us", physical_lines(F.col("text")).alias("n_lines"))
+    return d.filter("known IS NOT NULL").select("rel", "size", "mtime_us", F.col("known").cast("long").alias("n_lines")).unionByName(fresh)
+
+
 def duplicate_content(files: DataFrame) -> DataFrame:
     return files.groupBy("hash").agg(F.count("*").alias("n"), F.min("rel").alias("first_rel")).filter("n > 1")
 

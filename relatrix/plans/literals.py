@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import caps, drift, graph, health, journal, overlay, pending, resolve, wiki
+from ..operators import caps, drift, files, graph, health, journal, overlay, pending, resolve, wiki
 from ..scan import imports, symbols
 from ..session import prepare
-from ..sources import artifacts, projects, scope, snapshot
+from ..sources import artifacts, gitindex, projects, scope, snapshot
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -551,6 +551,19 @@ def _(s):
     return overlay.adopt_unchanged(rows(("a", "Red")), rows(("a", "Green"), ("b", "Green"), ("c", "Green")), same)
 
 
+@expect("line_counts", "rel string, n_lines long", [("same", 7), ("moved", 2), ("new", 1)])
+def _(s):
+    kind = "rel string, size long, mtime_us long"
+    stat, cache = table(s, kind, [("same", 1, 1), ("moved", 1, 2), ("new", 1, 1)]), table(s, kind + ", n_lines long", [("same", 1, 1, 7), ("moved", 1, 1, 9), ("gone", 1, 1, 9)])
+    return files.line_counts(stat, cache, table(s, "rel string, text string", [("same", "not read"), ("moved", "a\nb"), ("new", "c\n")]))
+
+
+@expect("git_vouched", "rel string, oid string", [("a", "01"), ("c", "03")])
+def _(s):
+    index = table(s, "rel string, size long, mtime_s long, mtime_ns long, oid string, racy boolean", [("a", 5, 10, 7000, "01", False), ("b", 5, 10, 7000, "02", False), ("c", 5, 10, 0, "03", False), ("d", 5, 10, 0, "04", True), ("e", 6, 10, 0, "05", False)])
+    return gitindex.vouched(index, table(s, "rel string, size long, mtime_us long", [("a", 5, 10_000_007), ("b", 5, 10_000_008), ("c", 5, 10_999_999), ("d", 5, 10_000_000), ("e", 5, 10_000_000)]))
+
+
 @expect("caps", "raw string, n long", [("none", 7), ("0", None), ("1", 1), ("x", 7), ("3 ", 3), ("-2", 7), ("", 7)])
 def _(s):
     return table(s, "raw string, n int", [(v, caps.cap(None if v == "none" else v, 7)) for v in ("none", "0", "1", "x", "3 ", "-2", "")])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, glob_regex, physical_lines, under_prefix
 from ..scan.imports import SUFFIXES
+from .control import Files
 
 #: Directory names that are never walked.
 EXCLUDED = (
@@ -26,6 +27,7 @@ class Scope:
     full_tree: bool = True
     container: bool = False
     excludes: tuple[str, ...] = EXCLUDED
+    children: list[str] = field(default_factory=list)
 
     @property
     def ok(self) -> bool:
@@ -49,6 +51,32 @@ def resolve_scope(map_paths: list[str], monitored: list[str], present: set[str],
     return Scope(there, [p for p in wanted if p not in present], not wanted, child_projects >= 3 and not wanted, (*EXCLUDED, *excludes))
 
 
+def exclude_list(text: str) -> list[str]:
+    """Names and globs of an exclude document, one a line; `name/*` excludes the name."""
+    lines = [x.split()[0] for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+    return [x for p in lines for x in dict.fromkeys((p.removesuffix("/*"), p)) if x]
+
+
+def detect(spark: SparkSession, root: str, state: str = "") -> Scope:
+    """The scope of a project folder: map_paths.txt, else the folders of monitored_paths.txt, else the whole tree, without
+    what exclude_patterns.txt names (these documents in `root`/`state`). A folder with three projects or more below it
+    is a container and not walked."""
+    files = Files(spark, root)
+    docs = Files(spark, f"{root.rstrip('/')}/{state}" if state else root)
+    marks = (".git", "file_health.json", f"{state or '.relatrix'}")
+    below = [s.getPath() for s in files.fs.listStatus(files.root) if s.isDirectory() and not s.getPath().getName().startswith(".")]
+    path = files.jvm.org.apache.hadoop.fs.Path
+    children = sorted(p.getName() for p in below if any(files.fs.exists(path(p, m)) for m in marks))
+    read = lambda name: docs.read(name) or ""
+    wanted, monitored = path_list(read("map_paths.txt")), path_list(read("monitored_paths.txt"))
+    monitored = [p for p in monitored if not files.fs.exists(files.at(p)) or files.fs.getFileStatus(files.at(p)).isDirectory()]
+    present = {p for p in {*wanted, *monitored} if files.fs.exists(files.at(p))}
+    scope = resolve_scope(wanted, monitored, present, exclude_list(read("exclude_patterns.txt")))
+    scope.container, scope.children = len(children) >= 3, children[:8]
+    scope.full_tree = scope.full_tree and not scope.container
+    return scope
+
+
 def is_source(rel: Column) -> Column:
     ends = "|".join(x for v in SUFFIXES.values() for x in v)
     return F.lower(rel).rlike(rf"\.({ends})$")

@@ -1,11 +1,13 @@
 """A project from first map to green, over the named queries; and the configuration parsers."""
 
+import struct
+
 import pytest
 
 from pyspark.sql import functions as F
 from relatrix.api import Project
 from relatrix.operators import caps, graph, journal, overlay, pending
-from relatrix.sources import projects, scope
+from relatrix.sources import control, gitindex, projects, scope
 
 
 def test_project(spark, tmp_path):
@@ -144,3 +146,65 @@ def test_journal_text(spark):
     text = "## 2024-01-02 03:04:05 - change\n\nFile: `a.py`\nReason: because\n\n## 2024-01-02 03:05:05 - deletion\nFile: b.py\nReason: gone\n"
     got = journal.parse(spark.createDataFrame([(text,)], "text string")).collect()
     assert [(str(r.stamp), r.action, r.file, r.reason) for r in got] == [("2024-01-02 03:04:05", "change", "a.py", "because"), ("2024-01-02 03:05:05", "deletion", "b.py", "gone")]
+
+
+def test_lock_status_and_deadline(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    with control.ProjectLock(spark, folder, wait_s=0.3) as mine:
+        with mine:
+            pass
+        with pytest.raises(TimeoutError):
+            control.ProjectLock(spark, folder, wait_s=0.2).__enter__()
+    with control.ProjectLock(spark, folder, wait_s=0.3):
+        (tmp_path / "state" / ".lock").write_text('{"owner": "lost", "at": 1}')
+        for f in (tmp_path / "state").glob("*.crc"):
+            f.unlink()
+        with control.ProjectLock(spark, folder, wait_s=2):
+            pass
+    assert control.read_status(spark, folder) == {}
+    control.write_status(spark, folder, {"parsed": 3})
+    assert control.read_status(spark, folder) == {"parsed": 3}
+    assert control.within(spark, 60, lambda n: spark.range(n).count(), 5) == 5
+    with pytest.raises(ZeroDivisionError):
+        control.within(spark, 60, lambda: 1 // 0)
+    slow = F.pandas_udf(lambda x: __import__("time").sleep(30) or x, "long")
+    with pytest.raises(control.DeadlineExceeded):
+        control.within(spark, 0.5, lambda: spark.range(4).select(slow("id")).collect())
+
+
+def test_scope_of_a_folder(spark, tmp_path):
+    for d in ("src/pkg", "lib", "old"):
+        (tmp_path / d).mkdir(parents=True)
+    s = scope.detect(spark, str(tmp_path))
+    assert s.full_tree and s.ok and not s.container
+    (tmp_path / "monitored_paths.txt").write_text("src\n# no\nnone\n.\n")
+    (tmp_path / "exclude_patterns.txt").write_text("old/*\ngen_*\n")
+    s = scope.detect(spark, str(tmp_path))
+    assert (s.prefixes, s.missing_dirs, s.full_tree, s.ok) == (["src"], ["none"], False, False) and {"old", "gen_*"} <= set(s.excludes)
+    (tmp_path / "map_paths.txt").write_text("lib\n")
+    assert scope.detect(spark, str(tmp_path)).prefixes == ["lib"]
+    for d in ("src", "lib", "old"):
+        (tmp_path / d / ".git").mkdir()
+    s = scope.detect(spark, str(tmp_path))
+    assert s.container and s.children == ["lib", "old", "src"] and not s.ok
+
+
+def test_git_index(spark, tmp_path):
+    def entry(name, size, seconds, nanos, oid, extended=False, stage=0):
+        head = struct.pack(">10I", 0, 0, seconds, nanos, 0, 0, 0o100644, 0, 0, size) + bytes([oid]) * 20
+        flags = min(len(name), 0xFFF) | (0x4000 if extended else 0) | stage << 12
+        e = head + struct.pack(">H", flags) + (b"\0\0" if extended else b"") + name.encode()
+        return e + b"\0" * (8 - len(e) % 8)
+
+    long = "d/" * 2100 + "x.py"
+    rows = [entry("a.py", 5, 100, 5000, 1), entry("b.py", 6, 100, 0, 2, extended=True), entry("m.py", 1, 1, 0, 3, stage=2), entry(long, 7, 4_000_000_000, 0, 4)]
+    data = b"DIRC" + struct.pack(">II", 3, len(rows)) + b"".join(rows) + b"\0" * 20
+    got = gitindex.parse_index(data)
+    assert got == [("a.py", 5, 100, 5000, "01" * 20), ("b.py", 6, 100, 0, "02" * 20), (long, 7, 4_000_000_000, 0, "04" * 20)]
+    assert gitindex.parse_index(b"DIRC" + struct.pack(">II", 4, 0)) is None and gitindex.parse_index(data[:90]) is None and gitindex.parse_index(b"") is None
+    (tmp_path / "index").write_bytes(data)
+    d = gitindex.git_index(spark, str(tmp_path / "index"))
+    assert {(r.rel, r.racy) for r in d.collect()} == {("a.py", False), ("b.py", False), (long, True)}
+    stat = spark.createDataFrame([("a.py", 5, 100_000_005), ("b.py", 6, 100_700_000), (long, 7, 4_000_000_000_000_000)], "rel string, size long, mtime_us long")
+    v = gitindex.vouched(d, stat)
+    assert {r.rel for r in v.collect()} == {"a.py", "b.py"} and gitindex.same_blobs(v, v.filter("rel = 'a.py'")).count() == 1
