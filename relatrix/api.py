@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions.text import under_prefix
 from .operators import caps, drift, files, graph, health, journal, overlay, pending, wiki
-from .scan.imports import exported_column, language_column
 from .session import stored
-from .sources.scope import Scope, rel_arg, relative, source_files
+from .sources.scope import Scope, rel_arg, source_files, tree_files, walk
 from .sources.snapshot import Store, update
 
 HEALTH = "file string, status string, reason string, verification string, source_hash string, public_symbols array<string>, wiki_hash string"
@@ -70,11 +69,8 @@ class Project:
 
     def update_maps(self, full: bool = False, max_files: int | None = None, **resolver) -> dict[str, int]:
         live = self.files()
-        if "exports" not in resolver:
-            js = live.filter(language_column(F.col("rel")) == "javascript").select("rel", exported_column(F.col("text")).alias("names"))
-            resolver["exports"] = js.select("rel", F.explode("names").alias("name"))
-        counts = update(self.store, live, full, max_files, **resolver)
-        self._set(health=self.health.unionByName(health.seed_stubs(live, self.health), allowMissingColumns=True))
+        counts = update(self.store, live, full, max_files, lambda rels: source_files(self.spark, self.root, self.scope, only=rels), **resolver)
+        self._set(health=self.health.unionByName(health.seed_stubs(self.index(), self.health), allowMissingColumns=True))
         return counts
 
     def edges(self) -> DataFrame:
@@ -168,9 +164,9 @@ class Project:
         return health.next_actions(self.health, self.alerts(prefix), low, prefix, not s.ok).orderBy("priority", "file")
 
     def wikis(self) -> DataFrame:
-        d = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(self.root)
-        rel = relative(F.col("path"), self.root)
-        return wiki.find_wikis(self.index(), d.select(rel.alias("rel"), F.col("content").cast("string").alias("text")))
+        rows = walk(self.root, Scope(), lambda rel: rel.lower().endswith(".md"))
+        d = tree_files(self.spark, self.root, rows)
+        return wiki.find_wikis(self.index(), d.select("rel", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
 
     def verify_wikis(self) -> DataFrame:
         return wiki.verify(self.health, self.files(), self.wikis())

@@ -76,6 +76,18 @@ def impact(edges: DataFrame, depth: int = 3) -> DataFrame:
     return out.filter("node <> affected").groupBy("node", "affected").agg(F.min("depth").cast("long").alias("depth"))
 
 
+def impact_of(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """(affected, depth): who depends on any of `nodes` (node) within `depth` steps, at the shortest distance. Each step
+    joins only what the last one found."""
+    e = edges.select(F.col("dst").alias("node"), F.col("src").alias("affected")).distinct()
+    front = nodes.select("node").distinct()
+    seen = front.select("node", F.lit(0).cast("long").alias("depth"))
+    for k in range(1, depth + 1):
+        front = front.join(e, "node").select(F.col("affected").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        seen = seen.union(front.select("node", F.lit(k).cast("long").alias("depth")))
+    return seen.filter("depth > 0").select(F.col("node").alias("affected"), "depth")
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """stored(df) and its rows, counted while they are written."""
     seen = Observation()

@@ -173,7 +173,8 @@ def build_edges(files: DataFrame, imports: DataFrame, aliases: DataFrame | None
     """(rel, text) and scanned imports -> (edges, leftovers).
 
     Edges carry line, names, conditional, dynamic, via_barrel, merged per (src, dst). Leftovers are (src, raw, reason):
-    external_or_bare, unresolved_relative, dynamic_literal; unresolved Rust paths are not reported.
+    external_or_bare, unresolved_relative, dynamic_literal; unresolved Rust paths are not reported. Lines come from the
+    scan; only Rust files are read again, for their re-exports.
     """
     r = imports.filter("spec IS NOT NULL").withColumn("language", language_column(F.col("src")))
     of = lambda lang: r.filter(F.col("language") == lang)
@@ -193,10 +194,8 @@ def build_edges(files: DataFrame, imports: DataFrame, aliases: DataFrame | None
         moved = follow_barrels(named, flat, exports).filter("via_barrel").select("src", "seq", F.col("dst").alias("to"), F.array("name").alias("via_names")).distinct()
         extra = d.join(moved, ["src", "seq"]).filter("to <> src").select(*[F.col("to").alias("dst") if c == "dst" else F.lit(True).alias(c) if c == "via_barrel" else F.col("via_names").alias(c) if c == "names" else F.col(c) for c in d.columns])
         d = d.unionByName(extra)
-    spec = F.regexp_replace("spec", "^mod:", "")
-    needles = F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(spec, F.element_at(F.split(spec, "::"), -1)))
     text = files.select(F.col("rel").alias("src"), "text")
-    d = d.join(text, "src").withColumn("line", line_of(F.col("text"), needles)).drop("text").withColumn("dynamic", F.col("kind") == "Dynamic")
+    d = d.withColumn("dynamic", F.col("kind") == "Dynamic")
     # Names that globs bring in come after all references of a file.
     used = brought.join(text, "src").select("src", "dst", F.lit(1 << 30).alias("seq"), line_of(F.col("text"), [F.col("name")]).alias("line"), F.array("name").alias("names"), F.lit(False).alias("conditional"), F.lit(False).alias("dynamic"), F.lit(True).alias("via_barrel"))
     d = d.select(*used.columns).unionByName(used)

@@ -109,6 +109,18 @@ def _(s, d):
     return graph.impact(edges(s, d), 3)
 
 
+@query(
+    "impact_of_hub",
+    f"""s AS (SELECT dst AS node FROM {HUB}),
+w(node, depth) AS (SELECT node, 0 FROM s UNION SELECT e.src, w.depth + 1 FROM w JOIN edges_v e ON e.dst = w.node WHERE w.depth < 3)
+SELECT node AS affected, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node HAVING min(depth) > 0""",
+    recursive=True,
+)
+def _(s, d):
+    e = stored(edges(s, d))
+    return graph.impact_of(e, hub(e, "dst").select(F.col("dst").alias("node")), 3)
+
+
 REACH = "reach(src, dst) AS (SELECT src, dst FROM edges_v UNION SELECT r.src, e.dst FROM reach r JOIN edges_v e ON r.dst = e.src)"
 SCC = REACH + """,
 nodes AS (SELECT src AS node FROM edges_v UNION SELECT dst FROM edges_v),

@@ -236,11 +236,18 @@ def scan_csharp(text: str) -> list[Ref]:
 SCANNERS: dict[str, Callable[[str], list[Ref]]] = {
     "python": scan_python, "javascript": scan_js, "rust": scan_rust, "go": scan_go, "c": scan_c, "java": scan_java, "csharp": scan_csharp,
 }
-IMPORTS = "src string, seq int, spec string, names array<string>, kind string, conditional boolean, inline_depth int, warning string"
+IMPORTS = "src string, seq int, spec string, names array<string>, kind string, conditional boolean, inline_depth int, line long, warning string"
+
+
+def first_line(text: str, ref: Ref) -> int:
+    """The line of the first of the reference's names, its spec or the spec's last part; 1 if none is in the text."""
+    spec = ref.spec.removeprefix("mod:")
+    at = min((i for n in (*ref.names, spec, spec.rpartition("::")[2]) if n and (i := text.find(n)) >= 0), default=0)
+    return text.count("\n", 0, at) + 1
 
 
 def scan(files: DataFrame, scanners: dict[str, Callable[[str], list[Ref]]] | None = None) -> DataFrame:
-    """(rel, text) -> imports. A scanner that fails gives one row with the warning and no spec, and other files go on."""
+    """(rel, text) -> imports, each with its line. A scanner that fails gives one row with the warning and no spec, and other files go on."""
     prepare(files.sparkSession)
     table = scanners or SCANNERS
 
@@ -249,10 +256,11 @@ def scan(files: DataFrame, scanners: dict[str, Callable[[str], list[Ref]]] | Non
             rows = []
             for rel, text, lang in zip(b["rel"], b["text"], b["language"]):
                 try:
-                    rows += [(rel, n, r.spec, list(r.names), r.kind, r.conditional, r.inline_depth, None) for n, r in enumerate(table[lang](text or ""))]
+                    found = enumerate(table[lang](text or ""))
+                    rows += [(rel, n, r.spec, list(r.names), r.kind, r.conditional, r.inline_depth, first_line(text or "", r), None) for n, r in found]
                 except Exception as e:  # one bad file must not end the run
-                    rows.append((rel, 0, None, [], None, False, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["src", "seq", "spec", "names", "kind", "conditional", "inline_depth", "warning"])
+                    rows.append((rel, 0, None, [], None, False, 0, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["src", "seq", "spec", "names", "kind", "conditional", "inline_depth", "line", "warning"])
 
     d = files.select("rel", "text", language_column(F.col("rel")).alias("language")).filter(F.col("language").isin(*table))
     return d.mapInPandas(run, IMPORTS)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, glob_regex, physical_lines, under_prefix
 from ..scan.imports import SUFFIXES
+from ..session import prepare
 from .control import Files
 
+#: Contents of an Arrow batch and of a partition, about.
+READ_BYTES, PART_BYTES = 8 << 20, 64 << 20
 #: Directory names that are never walked.
 EXCLUDED = (
     ".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target",
@@ -102,28 +108,97 @@ def in_scope(rel: Column, scope: Scope) -> Column:
     return inside & is_source(rel) & ~excluded(rel, scope.excludes)
 
 
-def relative(path: Column, root: str) -> Column:
-    """The part of a file source's path that is below `root`."""
-    bare = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
-    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^[a-z]+:/*" + re.escape(bare.lstrip("/")) + "/", "")
+def open_tree(root: str):
+    """The file system of a folder and its path there: a local or mounted one, or any store that Arrow reads by its URI.
 
-
-def source_files(spark: SparkSession, root: str, scope: Scope | None = None, contents: bool = True) -> DataFrame:
-    """Files under `root`: rel, size, mtime_us, and with `contents` text, hash, n_lines, dirty.
-
-    Invalid UTF-8 is read with replacement characters and marked dirty. Without `contents` the plan never reads a file.
+    Spark's own file sources leave out empty files and names like `__init__.py`, so the tree is walked here.
     """
-    scope = scope or Scope()
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    d = d.withColumn("rel", relative(F.col("path"), root)).filter(in_scope(F.col("rel"), scope))
-    stat = d.select("rel", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), *(["content"] if contents else []))
+    if "://" not in root:
+        return pafs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
+    fs, base = pafs.FileSystem.from_uri(root)
+    return fs, base.rstrip("/")
+
+
+def walk(root: str, scope: Scope, keep: Callable[[str], bool]) -> list[tuple[str, int, int]]:
+    """(path below the root, size, modification time in microseconds) of the files that `keep` accepts, in order. Excluded
+    folders are not entered."""
+    fs, base = open_tree(root)
+    exact = {e for e in scope.excludes if not re.search(r"[*?\[]", e)}
+    globs = [re.compile(glob_regex(e)) for e in scope.excludes if re.search(r"[*?\[]", e)]
+    dropped = lambda name: name in exact or any(g.match(name) for g in globs)
+    starts = [base] if scope.full_tree else [f"{base}/{p}" for p in scope.prefixes if not any(map(dropped, p.split("/")))]
+    found, waiting = {}, [s for s in starts]
+    while waiting:
+        for f in fs.get_file_info(pafs.FileSelector(waiting.pop(), allow_not_found=True)):
+            rel = f.path[len(base) + 1 :]
+            if dropped(f.base_name):
+                continue
+            if f.type == pafs.FileType.Directory:
+                waiting.append(f.path)
+            elif f.type == pafs.FileType.File and keep(rel):
+                found[rel] = (f.size, (f.mtime_ns or 0) // 1000)
+    return [(rel, *found[rel]) for rel in sorted(found)]
+
+
+def _read(root: str):
+    """Contents of (rel, size, mtime_us) rows; a file that is gone by now has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_tree(root)
+        for b in batches:
+            held, rows = 0, []
+            for i, rel in enumerate(b.column(0).to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{base}/{rel}") as f:
+                        rows.append((i, f.read()))
+                except FileNotFoundError:
+                    continue
+                held += len(rows[-1][1])
+                if held > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array([r[0] for r in rows])).columns, pa.array([r[1] for r in rows], pa.binary())], [*b.schema.names, "content"])
+                    held, rows = 0, []
+            if rows:
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array([r[0] for r in rows])).columns, pa.array([r[1] for r in rows], pa.binary())], [*b.schema.names, "content"])
+
+    return run
+
+
+def tree_files(spark: SparkSession, root: str, rows: list[tuple[str, int, int]], contents: bool = True) -> DataFrame:
+    """The listed files as rel, size, mtime_us and, with `contents`, content, read by the executors."""
+    prepare(spark)
+    schema = "rel string, size long, mtime_us long"
+    d = spark.createDataFrame(rows, schema)
     if not contents:
-        return stat
+        return d
+    parts = max(1, min(len(rows), sum(r[1] for r in rows) // PART_BYTES + 1, 10_000))
+    return d.repartition(parts).mapInArrow(_read(root), schema + ", content binary")
+
+
+def texts(d: DataFrame) -> DataFrame:
+    """tree_files() with text, hash, n_lines, dirty: invalid UTF-8 is read with replacement characters and marked."""
     text = F.col("content").cast("string")
-    d = stat.withColumn("dirty", ~F.is_valid_utf8(text)).withColumn("text", F.make_valid_utf8(text))
+    d = d.withColumn("dirty", ~F.is_valid_utf8(text)).withColumn("text", F.make_valid_utf8(text))
     return d.select("rel", "size", "mtime_us", "text", content_hash(F.col("text")).alias("hash"), physical_lines(F.col("text")).alias("n_lines"), "dirty")
 
 
+def source_files(spark: SparkSession, root: str, scope: Scope | None = None, contents: bool = True, only: list[str] | None = None) -> DataFrame:
+    """Source files under `root` (or those of `only`): rel, size, mtime_us, and with `contents` text, hash, n_lines, dirty.
+
+    The tree is listed on the driver, one small row a file, and read on the executors, which must see it under the same
+    path or URI. Without `contents` the plan never reads a file.
+    """
+    scope = scope or Scope()
+    ends = tuple("." + x for v in SUFFIXES.values() for x in v)
+    if only is None:
+        rows = walk(root, scope, lambda rel: rel.lower().endswith(ends))
+    else:
+        fs, base = open_tree(root)
+        info = fs.get_file_info([f"{base}/{p}" for p in only])
+        rows = [(p, f.size, (f.mtime_ns or 0) // 1000) for p, f in zip(only, info) if f.type == pafs.FileType.File]
+    d = tree_files(spark, root, rows, contents)
+    return texts(d) if contents else d
+
+
 def rel_arg(root: str, file: str) -> str:
     """A file argument as a path relative to the root: absolute paths below it, backslashes and leading `./` are read."""
     if os.path.isabs(file):

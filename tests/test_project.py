@@ -5,6 +5,7 @@ import struct
 import pytest
 
 from pyspark.sql import functions as F
+from relatrix import api
 from relatrix.api import Project
 from relatrix.operators import caps, graph, journal, overlay, pending
 from relatrix.sources import control, gitindex, projects, scope
@@ -148,6 +149,43 @@ def test_journal_text(spark):
     assert [(str(r.stamp), r.action, r.file, r.reason) for r in got] == [("2024-01-02 03:04:05", "change", "a.py", "because"), ("2024-01-02 03:05:05", "deletion", "b.py", "gone")]
 
 
+def test_names_that_file_sources_hide(spark, tmp_path):
+    """Empty files, underscored names and odd characters are part of a tree; excluded folders are not entered."""
+    for name in ("pkg/__init__.py", "pkg/_x.py", "pkg/a b%20[1].py", "node_modules/n.js", ".git/h.py", "pkg/.hidden.py", "gen_1/g.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "init" in name else "import pkg\n")
+    (tmp_path / "pkg" / "bad.py").write_bytes(b"x = '\xff'\n")
+    s = scope.Scope(excludes=(*scope.EXCLUDED, "gen_*"))
+    got = {r.rel: (r.n_lines, r.dirty) for r in scope.source_files(spark, str(tmp_path), s).collect()}
+    assert got == {"pkg/__init__.py": (0, False), "pkg/_x.py": (1, False), "pkg/a b%20[1].py": (1, False), "pkg/.hidden.py": (1, False), "pkg/bad.py": (1, True)}
+    assert [r.rel for r in scope.source_files(spark, str(tmp_path), scope.Scope(["gen_1"], full_tree=False), contents=False).collect()] == ["gen_1/g.py"]
+    p = Project(spark, str(tmp_path), str(tmp_path / "store"), s)
+    p.update_maps()
+    assert ("pkg/_x.py", "pkg/__init__.py") in {(r.src, r.dst) for r in p.edges().collect()}
+
+
+def test_a_warm_update_reads_what_moved(spark, tmp_path, monkeypatch):
+    root = tmp_path / "proj"
+    root.mkdir()
+    texts = {"a.js": "import {x} from './index'", "index.js": "export * from './x[1]'", "x[1].js": "export const x = 1", "b.py": "import c", "c.py": ""}
+    for name, text in texts.items():
+        (root / name).write_text(text)
+    p = Project(spark, str(root), str(tmp_path / "store"))
+    assert p.update_maps() == {"skipped": 0, "hashed": 5, "parsed": 5, "removed": 0, "dirty": 0}
+    first = {(r.src, r.dst, r.via_barrel) for r in p.edges().collect()}
+    assert first == {("a.js", "index.js", False), ("a.js", "x[1].js", True), ("index.js", "x[1].js", False), ("b.py", "c.py", False)}
+    read: list[str] = []
+    real = api.source_files
+    monkeypatch.setattr(api, "source_files", lambda *a, only=None, **k: (read.extend(only or []), real(*a, only=only, **k))[1])
+    assert p.update_maps() == {"skipped": 5, "hashed": 0, "parsed": 0, "removed": 0, "dirty": 0} and read == []
+    (root / "x[1].js").write_text("export const x = 22")
+    (root / "c.py").unlink()
+    assert p.update_maps() == {"skipped": 3, "hashed": 1, "parsed": 1, "removed": 1, "dirty": 0} and read == ["x[1].js"]
+    assert {(r.src, r.dst, r.via_barrel) for r in p.edges().collect()} == {("a.js", "index.js", False), ("a.js", "x[1].js", True), ("index.js", "x[1].js", False)}
+    assert {r.rel for r in p.index().collect()} == {"a.js", "index.js", "x[1].js", "b.py"}
+    assert p.update_maps(full=True)["parsed"] == 4
+
+
 def test_lock_status_and_deadline(spark, tmp_path):
     folder = str(tmp_path / "state")
     with control.ProjectLock(spark, folder, wait_s=0.3) as mine:
