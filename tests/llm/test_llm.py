@@ -421,6 +421,24 @@ def test_sharding(spark, docs, texts, same):
     assert all(abs(load[s] - mean) <= top for s in range(40))
 
 
+def test_sharding_equals_brute_force(docs):
+    """All rows on one line, by range, text hash and row hash: the middle byte of a row decides its shard."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    row_hash = lambda k, uid: signed(xxhash.xxh64_intdigest(uid.to_bytes(8, "little"), xxhash.xxh64_intdigest(str(k).encode(), 42)))
+    at = {r.doc_id: (r.text or "", r.uid) for r in docs.withColumn("uid", F.monotonically_increasing_id()).collect()}
+    got = {r.doc_id: r for r in sharding.assign_shards(docs, 40).collect()}
+    line = sorted((got[k].key_range, signed(xxhash.xxh64_intdigest(t.encode(), 42)), row_hash(k, uid), uid, k) for k, (t, uid) in at.items())
+    total, before, slots = sum(r["size"] for r in got.values()), 0, Counter()
+    for *_, k in line:
+        r = got[k]
+        shard = min(39, (2 * before + r["size"]) * 40 // (2 * total))
+        assert (r.shard, r.slot) == (shard, slots[shard])
+        before += r["size"]
+        slots[shard] += 1
+
+
 def test_write_shards(docs, tmp_path):
     back = sharding.write_shards(docs, str(tmp_path / "s"), 5)
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 5
