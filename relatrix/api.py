@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.text import under_prefix
 from .operators import caps, drift, files, graph, health, journal, overlay, pending, wiki
 from .session import stored
-from .sources.scope import Scope, rel_arg, source_files, tree_files, walk
+from .sources.scope import Scope, detect, rel_arg, source_files, tree_files, walk
 from .sources.snapshot import Store, update
 
 HEALTH = "file string, status string, reason string, verification string, source_hash string, public_symbols array<string>, wiki_hash string"
@@ -23,7 +23,7 @@ STATE = {"health": HEALTH, "journal": JOURNAL, "baselines": TEXTS, "pending": PE
 
 @dataclass
 class Project:
-    """Commands return DataFrames. State changes are worked out and written once, at the time of the command, and kept
+    """Commands return DataFrames. Without a scope, the documents in the root name it (scope.detect()). State changes are worked out and written once, at the time of the command, and kept
     in the object; save() commits all.
 
     The state tables are parquet under the store; a missing one is empty. A file may be named by a path relative to the
@@ -38,6 +38,7 @@ class Project:
     max_fan_in: int = 25
 
     def __post_init__(self):
+        self.scope = self.scope or detect(self.spark, self.root)
         self.store = Store(self.spark, self.store_path)
         self.state = Store(self.spark, f"{self.store_path}/state")
         v = self.state.version()
@@ -89,6 +90,10 @@ class Project:
         d = graph.dependencies(self.edges(), self.file_arg(file))
         return (d.filter((F.col("confidence") < graph.LOW_ACTION) & ~F.col("dynamic")) if low_confidence_only else d).orderBy("dst")
 
+    def get_unresolved(self, file: str) -> DataFrame:
+        """What a file refers to outside the project or to no file: raw, reason."""
+        return self.store.read("leftovers").filter(F.col("src") == self.file_arg(file)).select("raw", "reason").orderBy("reason", "raw")
+
     def get_cycles(self) -> DataFrame:
         e = self.edges()
         c = graph.strong_components(e)
@@ -228,6 +233,9 @@ class Project:
             reply["verification_failed"] = v.filter(F.size("issues") > 0).select("file", "issues")
         return reply
 
+    def healable(self) -> DataFrame:
+        return health.healable(self.health, self.wikis()).orderBy("file")
+
     def heal_stubs(self) -> DataFrame:
         self._set(health=health.heal_stubs(self.health, self.wikis()))
         return self.health
@@ -249,12 +257,13 @@ class Project:
         return overlay.validate(i, self.health, self.files())
 
     def prepare_edit(self, file: str) -> DataFrame:
-        """One row: health, line count, importers and imports of a file."""
+        """One row: health, line count, wiki, importers and imports of a file."""
         e, file = self.edges(), self.file_arg(file)
         f = self.files().filter(F.col("rel") == file).select(F.col("rel").alias("file"), "n_lines", "hash")
         back = e.filter(F.col("dst") == file).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
         ahead = graph.with_confidence(e.filter(F.col("src") == file)).agg(F.array_sort(F.collect_list(F.struct("dst", "confidence", "reason"))).alias("dependencies"))
         d = f.join(self.health.filter(F.col("file") == file).select("file", "status", "reason"), "file", "left")
+        d = d.join(self.wikis().filter(F.col("file") == file).select("file", F.col("path").alias("wiki_path"), F.col("text").alias("wiki")), "file", "left")
         return d.join(back.withColumn("file", F.lit(file)), "file").join(ahead.withColumn("file", F.lit(file)), "file")
 
     # the journal

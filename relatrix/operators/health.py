@@ -82,17 +82,21 @@ def seed_stubs(files: DataFrame, health: DataFrame) -> DataFrame:
     return d.select("file", F.lit("Yellow").alias("status"), F.lit(STUB).alias("reason"), F.col("hash").alias("source_hash"))
 
 
-def check_changes(health: DataFrame, live: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
+def check_changes(health: DataFrame, live: DataFrame, indexed: DataFrame | None = None, watched: DataFrame | None = None) -> DataFrame:
     """The next status of every watched file that is dirty: (file, status, reason, journal).
 
     live: (rel, hash) on disk; indexed: (rel, hash) of the map, the baseline where the health row has no hash. Missing
     on disk is Red; a hash that differs from the baseline is Yellow; a row that says so already is not journaled again.
+    watched: further (file) names, which are dirty only when they are gone, having no baseline.
     """
+    monitored = watched
     h = health.select("file", F.col("status").alias("old"), F.col("reason").alias("why"), F.col("source_hash").alias("base"))
     watched = h
     if indexed is not None:
         watched = h.join(indexed.select(F.col("rel").alias("file"), F.col("hash").alias("mapped")), "file", "full_outer")
         watched = watched.withColumn("base", F.coalesce(F.when(F.col("base").startswith("sha256:"), F.col("base")), "mapped"))
+    if monitored is not None:
+        watched = watched.join(monitored.select("file").distinct(), "file", "full_outer")
     d = watched.join(live.select(F.col("rel").alias("file"), F.col("hash").alias("live")), "file", "left")
     gone, moved = F.col("live").isNull(), F.col("live") != F.col("base")
     old = F.coalesce("old", F.lit(""))
@@ -176,6 +180,12 @@ def seed_source_hashes(health: DataFrame, live: DataFrame, force: bool = False,
     return d.select("file", outcome.alias("outcome"), F.when(outcome == "seeded", F.col("live")).alias("hash"))
 
 
+def healable(health: DataFrame, wikis: DataFrame, least: int = 350) -> DataFrame:
+    """(file, n_wiki): the stubs that heal_stubs() would turn green."""
+    w = wikis.select("file", F.length(F.trim("text")).cast("long").alias("n_wiki"))
+    return health.filter(F.col("reason") == STUB).join(w, "file").filter(F.col("n_wiki") >= least).select("file", "n_wiki")
+
+
 def heal_stubs(health: DataFrame, wikis: DataFrame, least: int = 350) -> DataFrame:
     """Stubs whose trimmed wiki has at least `least` characters become Green and verified."""
     w = wikis.select("file", F.length(F.trim("text")).alias("n_wiki"))

@@ -468,6 +468,25 @@ def _(s):
     return health.heal_stubs(h, table(s, "file string, text string", [("a", "x" * 350), ("b", " " * 400 + "x"), ("c", "x" * 350)]))
 
 
+@expect("healable", "file string, n_wiki long", [("a", 350)])
+def _(s):
+    h = table(s, ROW, [(f, "Yellow", r, "", "", [], "") for f, r in (("a", health.STUB), ("b", health.STUB), ("c", "other"))])
+    return health.healable(h, table(s, "file string, text string", [("a", " " + "x" * 350), ("b", "x" * 349), ("c", "x" * 350)]))
+
+
+@expect(
+    "check_changes_watched",
+    "file string, status string, reason string, journal boolean",
+    [("gone", "Red", "missing on disk (check-changes)", True), ("moved", "Yellow", "content changed since last mark-green", True), ("again", "Yellow", "content changed since last mark-green", False), ("extra", "Red", "missing on disk (check-changes)", True)],
+)
+def _(s):
+    rows = [("gone", "Green", "", "", "sha256:1", [], ""), ("moved", "Green", "", "", "", [], ""), ("again", "Yellow", health.CHANGED, "", "sha256:1", [], ""), ("same", "Green", "", "", "sha256:1", [], "")]
+    kind = "rel string, hash string"
+    live = table(s, kind, [("moved", "sha256:2"), ("again", "sha256:2"), ("same", "sha256:1"), ("there", "sha256:9")])
+    indexed = table(s, kind, [("moved", "sha256:1")])
+    return health.check_changes(table(s, ROW, rows), live, indexed, table(s, "file string", [("extra",), ("there",), ("same",)]))
+
+
 @expect("stale_wikis", "file string", [("a",), ("c",)])
 def _(s):
     h = table(s, ROW, [("a", "Green", "ok", "", "sha256:1", [], ""), ("b", "Green", "ok", "", "sha256:2", [], ""), ("c", "Yellow", "content changed since", "", "", [], ""), ("d", "Yellow", "content changed", "", "", [], "")])

@@ -35,6 +35,7 @@ def test_project(spark, tmp_path):
     assert actions == [(1, "record_deletion", "c.py"), (2, "prepare_edit", "b.py")]
     assert {r.file for r in q.search_journal("missing").collect()} == {"c.py"}
     edit = q.prepare_edit("b.py").first()
+    assert (edit.wiki_path, edit.wiki) == ("b.py.wiki.md", "`go` starts it") and q.get_unresolved("b.py").count() == 0 and q.healable().count() == 0
     assert edit.dependents == ["a.py"] and [d.dst for d in edit.dependencies] == ["a.py"]
     with pytest.raises(ValueError):
         q.mark_green(["b.py"], force=True)
