@@ -525,10 +525,11 @@ def small(s: SparkSession) -> DataFrame:
 @expect(
     "resolution_notes",
     "file string, raw string, line long, reason string, confidence double",
-    [("a", "os", None, "external_or_bare", None), ("a", "c", 4, "conditional_guard", 0.55), ("b", "c", 5, "dynamic_literal", 0.4), ("c", "a", 6, "via_barrel", 0.7)],
+    [("a", "os", 0, "external_or_bare", 0.0), ("a", "c", 4, "conditional_guard", 0.55), ("b", "c", 5, "dynamic_literal", 0.4), ("c", "a", 6, "via_barrel", 0.7)],
 )
 def _(s):
-    return graph.notes(small(s), table(s, "src string, raw string, reason string", [("a", "os", "external_or_bare")]))
+    d = graph.notes(small(s), table(s, "src string, raw string, reason string", [("a", "os", "external_or_bare")]))
+    return d.fillna(0, ["line", "confidence"])
 
 
 @expect("actionable_edges", "file string, path string, confidence double, reason string", [("a", "c", 0.55, "conditional_guard")])
@@ -583,9 +584,9 @@ def _(s):
     return gitindex.vouched(index, table(s, "rel string, size long, mtime_us long", [("a", 5, 10_000_007), ("b", 5, 10_000_008), ("c", 5, 10_999_999), ("d", 5, 10_000_000), ("e", 5, 10_000_000)]))
 
 
-@expect("caps", "raw string, n long", [("none", 7), ("0", None), ("1", 1), ("x", 7), ("3 ", 3), ("-2", 7), ("", 7)])
+@expect("caps", "raw string, n string", [("none", "7"), ("0", "all"), ("1", "1"), ("x", "7"), ("3 ", "3"), ("-2", "7"), ("", "7")])
 def _(s):
-    return table(s, "raw string, n int", [(v, caps.cap(None if v == "none" else v, 7)) for v in ("none", "0", "1", "x", "3 ", "-2", "")])
+    return table(s, "raw string, n string", [(v, str(caps.cap(None if v == "none" else v, 7) or "all")) for v in ("none", "0", "1", "x", "3 ", "-2", "")])
 
 
 @expect("plan_update", "rel string, state string", [("same", "skip"), ("longer", "hash"), ("later", "hash"), ("fresh", "new")])

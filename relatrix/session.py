@@ -33,11 +33,11 @@ def build(master: str | None = None, shuffle_partitions: int = 8, **conf: str) -
 def prepare(spark: SparkSession) -> SparkSession:
     """Make any session fit for the library's Python operators.
 
-    Arrow batches are kept to 2,000 rows and 16 MB (a longer row is a batch of its own), and the package is shipped
+    Arrow batches are kept to 2,000 rows and 4 MB (a longer row is a batch of its own), and the package is shipped
     to the executors once per application, so workers need no shared PYTHONPATH.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
