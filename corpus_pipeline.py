@@ -1,20 +1,18 @@
 """Training-corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. Every stage but the
-last returns the columns of documents. run() writes each result as Parquet to the shared checkpoint folder and reads
-it back as the next stage's docs. SQL cannot express the stages, so ORACLE_SQL is None; tests/llm holds the brute-force
+last returns the columns of documents. run() writes each result as Parquet to the shared checkpoint folder, reads it
+back as the next stage's docs and then deletes the one before. SQL cannot express the stages, so ORACLE_SQL is None; tests/llm holds the brute-force
 counterpart.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relatrix.llm import mixing, neardup, packing, quality_rules, toxicity
-from relatrix.session import checkpoint_dir, prepare
+from relatrix.session import discard, prepare, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,8 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}_{name}")
-        docs = spark.read.parquet(f"{root}/{i}_{name}")
+    for _, stage in STAGES:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
