@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 from relatrix.functions import text as T
-from relatrix.operators import caps, drift, files, graph, health, journal, overlay
+from relatrix.operators import caps, drift, files, graph, health, journal, overlay, reach
 from relatrix.plans.registry import ORACLES, QUERIES
 from relatrix.sources import artifacts, scope
 from relatrix.sources.snapshot import Store, update
@@ -64,6 +64,63 @@ def test_strong_components_by_joins_alone(spark, shape):
         assert {r.node: r.component for r in graph.strong_components(e, local).collect()} == want
 
 
+def within(pairs, depth):
+    """{(node, what it leads to): least number of edges, one at least, `depth` at most}."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    out = {}
+    for node in to:
+        front, seen, k = {node}, set(), 0
+        while front and k < depth:
+            k += 1
+            front = {y for x in front for y in to.get(x, ())} - seen
+            seen |= front
+            out |= {(node, y): k for y in front}
+    return out
+
+
+def join_rows(spark, run):
+    """The rows that the joins of run() make, by Spark's own metrics."""
+    java = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in java(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for k in {x.executionId() for x in java(store.executionsList())} - before:
+        values = java(store.executionMetrics(k))
+        for node in java(store.planGraph(k).allNodes()):
+            if "Join" in node.name():
+                total += sum(int(values[m.accumulatorId()].replace(",", "")) for m in java(node.metrics()) if m.name() == "number of output rows" and m.accumulatorId() in values)
+    return total
+
+
+@pytest.mark.parametrize("shape, block", [("random", 5), ("strings", 10**6), ("between", 10**6)])
+def test_impact_equals_brute_force(spark, monkeypatch, shape, block):
+    """`between`: a middle node without an edge to another one, an end that no edge leaves, an edge to itself."""
+    monkeypatch.setattr(reach, "BLOCK_EDGES", block)
+    rng = random.Random(6)
+    pairs = {
+        "random": sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(16)} | {(20, 21), (21, 22), (0, 20), (22, 22)}),
+        "strings": [("b", "a"), ("a", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("é", "a")],
+        "between": [(1, 2), (2, 3), (5, 5)],
+    }[shape]
+    kind = "string" if shape == "strings" else "long"
+    e = spark.createDataFrame([*pairs, (None, pairs[0][0]), (pairs[0][0], None)], f"src {kind}, dst {kind}")
+    got = graph.impact(e, 3).collect()
+    assert sorted(map(tuple, got)) == sorted((*p, k) for p, k in within([(b, a) for a, b in pairs], 3).items() if p[0] != p[1])
+
+
+def test_impact_makes_no_row_for_every_way(spark):
+    """Full layers: 60 ways lead to each pair two layers apart."""
+    pairs = [(60 * k + i, 60 * k + j + 60) for k in range(3) for i in range(60) for j in range(60)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    found = []
+    rows = join_rows(spark, lambda: found.extend(graph.impact(e, 3).collect()))
+    assert len(found) == 6 * 3600 and rows < 2 * (len(pairs) + len(found))
+
+
 def test_strong_local_on_large_random_graphs():
     import numpy as np
 
