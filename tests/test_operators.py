@@ -97,7 +97,7 @@ def join_rows(spark, run):
 
 
 @pytest.mark.parametrize("shape, block", [("random", 5), ("strings", 10**6), ("between", 10**6)])
-def test_impact_equals_brute_force(spark, monkeypatch, shape, block):
+def test_impact_and_closure_equal_brute_force(spark, monkeypatch, shape, block):
     """`between`: a middle node without an edge to another one, an end that no edge leaves, an edge to itself."""
     monkeypatch.setattr(reach, "BLOCK_EDGES", block)
     rng = random.Random(6)
@@ -108,6 +108,8 @@ def test_impact_equals_brute_force(spark, monkeypatch, shape, block):
     }[shape]
     kind = "string" if shape == "strings" else "long"
     e = spark.createDataFrame([*pairs, (None, pairs[0][0]), (pairs[0][0], None)], f"src {kind}, dst {kind}")
+    got = graph.closure(e).collect()
+    assert sorted(map(tuple, got)) == sorted(within(pairs, 99))
     got = graph.impact(e, 3).collect()
     assert sorted(map(tuple, got)) == sorted((*p, k) for p, k in within([(b, a) for a, b in pairs], 3).items() if p[0] != p[1])
 
@@ -121,6 +123,15 @@ def test_impact_makes_no_row_for_every_way(spark):
     assert len(found) == 6 * 3600 and rows < 2 * (len(pairs) + len(found))
 
 
+def test_closure_makes_no_row_for_every_way(spark):
+    """30 nodes all joined to each other, 300 with 20 edges into them."""
+    pairs = [(i, j) for i in range(30) for j in range(30) if i != j] + [(i, (i * 7 + j) % 30) for i in range(100, 400) for j in range(20)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    found = []
+    rows = join_rows(spark, lambda: found.extend(graph.closure(e).collect()))
+    assert len(found) == 330 * 30 and rows < 2 * (len(pairs) + len(found))
+
+
 def test_strong_local_on_large_random_graphs():
     import numpy as np
 
