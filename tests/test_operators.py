@@ -158,6 +158,18 @@ def test_closure_makes_no_row_for_every_way(spark):
     assert len(found) == 330 * 30 and rows < 2 * (len(pairs) + len(found))
 
 
+def test_closure_moves_edges_few_times(spark, monkeypatch):
+    """20 nodes all joined to each other, 2,000 with 20 edges to 300 that lead there. Two bytes an edge for all of
+    it; with rows shuffled for each join and copied to every block 31."""
+    monkeypatch.setattr(reach, "BLOCK_EDGES", 10_000)
+    pairs = [(i, j) for i in range(20) for j in range(20) if i != j] + [(i, i % 20) for i in range(100, 400)]
+    pairs += [(i, 100 + (i * 7 + j * 11) % 300) for i in range(1000, 3000) for j in range(20)]
+    e = spark.createDataFrame(pairs, "src long, dst long").coalesce(1).localCheckpoint()
+    found = []
+    n = shuffled(spark, lambda: found.append(graph.closure(e).count()))
+    assert found == [20 * 20 + 300 * 20 + 2000 * 40] and n < 10 * len(pairs)
+
+
 def test_strong_local_on_large_random_graphs():
     import numpy as np
 
