@@ -158,6 +158,33 @@ def test_closure_makes_no_row_for_every_way(spark):
     assert len(found) == 330 * 30 and rows < 2 * (len(pairs) + len(found))
 
 
+@pytest.mark.parametrize("name", [int, str, lambda i: -(2**62) * (i % 2) + i], ids=["whole", "strings", "far apart"])
+def test_blocks_in_small_pieces_equal_brute_force(monkeypatch, name):
+    """Many chunks of a slot, rows parted, depths beyond a byte, members of a far end; no session."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(reach, "PACK_ROWS", 7)
+    monkeypatch.setattr(reach, "OUT_ROWS", 3)
+    rng = random.Random(8)
+    kind = pa.string() if name is str else pa.int64()
+    edges = [(0, name(rng.randrange(12)), 0, name(rng.randrange(12))) for _ in range(40)]
+    near = [(n % 3, name(n), rng.choice([0, 1, 126, 127, 200]), name(rng.randrange(14))) for n in range(9) for _ in range(1 + 3 * (n % 4))]
+    members = [(0, name(3), 0, name(i)) for i in range(20, 28)]
+    parts = []
+    for part, rows in enumerate((members, edges, near)):
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), kind, pa.int64(), kind))], ["slot", "key", "depth", "value"])
+        chunks = reach._packing(iter(table.to_batches(max_chunksize=3)))
+        parts += sorted((part, b["slot"][0].as_py(), b["chunk"][0].as_py()) for b in chunks)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts[i : i + 4])], ["part", "slot", "chunk"]) for i in range(0, len(parts), 4)]
+    got = [(r["node"], x, r["depth"]) for b in reach._run(True, True, kind)(iter(batches)) for r in b.to_pylist() for x in r["list"]]
+    want = {}
+    for _, node, d, mid in near:
+        for _, at, _, far in edges:
+            for x in [m[3] for m in members] if at == mid and far == name(3) else [far] * (at == mid):
+                want[node, x] = min(d + 1, want.get((node, x), 999))
+    assert sorted(got) == sorted((*p, d) for p, d in want.items())
+
+
 def test_closure_moves_edges_few_times(spark, monkeypatch):
     """20 nodes all joined to each other, 2,000 with 20 edges to 300 that lead there. Two bytes an edge for all of
     it; with rows shuffled for each join and copied to every block 31."""
