@@ -185,6 +185,13 @@ def test_blocks_in_small_pieces_equal_brute_force(monkeypatch, name):
     assert sorted(got) == sorted((*p, d) for p, d in want.items())
 
 
+def test_nodes_of_other_types(spark):
+    e = spark.sql("SELECT date(s) AS src, date(d) AS dst FROM VALUES ('2020-01-01', '2020-01-02'), ('2020-01-02', '2020-01-03') AS t(s, d)")
+    assert sorted((str(r.node)[9:], str(r.affected)[9:], r.depth) for r in graph.impact(e, 2).collect()) == [("2", "1", 1), ("3", "1", 2), ("3", "2", 1)]
+    e = e.select(F.dayofmonth("src").alias("src"), F.dayofmonth("dst").alias("dst"))
+    assert sorted(map(tuple, graph.impact(e, 2).collect())) == [(2, 1, 1), (3, 1, 2), (3, 2, 1)]
+
+
 def test_closure_moves_edges_few_times(spark, monkeypatch):
     """20 nodes all joined to each other, 2,000 with 20 edges to 300 that lead there. Two bytes an edge for all of
     it; with rows shuffled for each join and copied to every block 31."""
